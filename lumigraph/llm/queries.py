@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from lumigraph.llm.chat import format_chats
-from lumigraph.llm.common import read_table
+from lumigraph.llm.common import new_path, read_table
 from lumigraph.llm.line_dedup import dedup_lines
 from lumigraph.llm.mixing import mix
+from lumigraph.llm.token_counts import count_tokens
+from lumigraph.llm.token_output import read_tokens, write_tokens
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -23,10 +26,26 @@ def op5_chat_formatting(spark, sf_dir):
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def token_digests(docs):
+    path = new_path(docs.sparkSession, "tokens")
+    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_token_output(spark, sf_dir):
+    return token_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark, sf_dir):
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op4_token_output": op4_token_output,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_token_counts": op6_token_counts,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -9,6 +9,7 @@ from lumigraph.llm.chat import format_chats
 from lumigraph.llm.common import new_path, read_table
 from lumigraph.llm.line_dedup import dedup_lines
 from lumigraph.llm.mixing import mix
+from lumigraph.llm.near_dup import near_duplicates
 from lumigraph.llm.token_counts import count_tokens
 from lumigraph.llm.token_output import read_tokens, write_tokens
 
@@ -40,12 +41,17 @@ def op6_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_near_dedup(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op4_token_output": op4_token_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumigraph.llm.chat import format_chats
 from lumigraph.llm.common import new_path, read_table
+from lumigraph.llm.decontamination import find_contamination
 from lumigraph.llm.line_dedup import dedup_lines
 from lumigraph.llm.mixing import mix
 from lumigraph.llm.near_dup import near_duplicates
@@ -41,6 +42,10 @@ def op6_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_dedup(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_token_output": op4_token_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
 

@@ -13,6 +13,7 @@ from lumigraph.llm.mixing import mix
 from lumigraph.llm.near_dup import near_duplicates
 from lumigraph.llm.token_counts import count_tokens
 from lumigraph.llm.token_output import read_tokens, write_tokens
+from lumigraph.llm.toxicity import score_toxicity
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -28,6 +29,10 @@ def op5_chat_formatting(spark, sf_dir):
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def token_digests(docs):
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -53,6 +58,7 @@ def op10_near_dedup(spark, sf_dir):
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_token_output": op4_token_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,

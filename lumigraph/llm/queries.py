@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumigraph.llm.chat import format_chats
 from lumigraph.llm.common import new_path, read_table
 from lumigraph.llm.decontamination import find_contamination
+from lumigraph.llm.fingerprints import compare_edits
 from lumigraph.llm.line_dedup import dedup_lines
 from lumigraph.llm.mixing import mix
 from lumigraph.llm.near_dup import near_duplicates
@@ -47,6 +48,11 @@ def op6_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_fingerprints(spark, sf_dir):
+    out = compare_edits(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_decontamination(spark, sf_dir):
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_token_output": op4_token_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
+    "op7_fingerprints": op7_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }

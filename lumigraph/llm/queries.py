@@ -12,6 +12,7 @@ from lumigraph.llm.fingerprints import compare_edits
 from lumigraph.llm.line_dedup import dedup_lines
 from lumigraph.llm.mixing import mix
 from lumigraph.llm.near_dup import near_duplicates
+from lumigraph.llm.secrets import find_secrets
 from lumigraph.llm.token_counts import count_tokens
 from lumigraph.llm.token_output import read_tokens, write_tokens
 from lumigraph.llm.toxicity import score_toxicity
@@ -53,6 +54,10 @@ def op7_fingerprints(spark, sf_dir):
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_secret_scan(spark, sf_dir):
+    return find_secrets(read_table(spark, sf_dir, "documents")).drop("finding")
+
+
 def op9_decontamination(spark, sf_dir):
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
+    "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }

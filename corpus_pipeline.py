@@ -1,5 +1,68 @@
-"""A corpus pipeline."""
-STAGES = []
+"""From raw documents to token files: toxic documents go, one of each group of near copies stays, documents that
+hold benchmark items go, sources are mixed to their targets, and what is left is written as token ids.
+
+A stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
+columns of documents; the last returns, per document of the mix, what the token files hold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumigraph.llm.common import materialize, read_table
+from lumigraph.llm.decontamination import find_contamination
+from lumigraph.llm.mixing import mix
+from lumigraph.llm.near_dup import near_duplicates
+from lumigraph.llm.queries import token_digests
+from lumigraph.llm.toxicity import drop_toxic
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less those with these ids. The ids are written first: a short list then needs no shuffle of the texts."""
+    gone = materialize(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_duplicates(docs).where("not kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it; one that it does not take goes."""
+    copies = mix(docs).select(F.col("doc_id").alias("mixed"), "copies").groupBy("mixed").agg(F.max("copies").alias("copies")).where("copies > 0")
+    times = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed"]))
+    return times.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_of_mix")).drop("copy_of_mix")
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_digests(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_output", token_output),
+]
+
+# Scores, kernels and tokenizers have no SQL; tests hold each stage and the whole against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

@@ -375,3 +375,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     out = docs.mapInArrow(run, f"`{id_col}` {id_type}, score double")
     return out.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores less than min_score. Otherwise as score_toxicity."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **sample))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = model.value
+        for batch in batches:
+            if own is not None:
+                batch = batch.filter(pa.array(own.scores([t or "" for t in batch.column(at).to_pylist()]) < min_score))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

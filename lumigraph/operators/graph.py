@@ -138,7 +138,7 @@ def neighbors(graph: Graph, start: DataFrame, depth: int = 2, max_neighbors: int
         out = step if out is None else out.unionByName(step)
         if level == depth or (max_neighbors and out.limit(max_neighbors).count() >= max_neighbors):
             break
-        new = _checkpointed(both.join(new.select(F.col("key").alias("at")), "at").select("key").distinct().join(seen, "key", "left_anti"))
+        new = _checkpointed(step.select("key").distinct().join(seen, "key", "left_anti"))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

@@ -26,16 +26,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     Plan: each document emits a 128-bit hash of each distinct key, so count(*) is the number of documents
     and combines on the map side; a line that a third of all documents hold is one partial row per task.
     The second pass joins hashes with the few that are over the threshold (AQE splits a hot one), and
-    only ids and 64-bit hashes go back to the documents, which are shuffled once.
+    only ids and 64-bit hashes go back to the documents, which are shuffled once and never sorted: the
+    smaller side of both joins is hashed, by shuffle partition.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     keys = F.explode(F.array_distinct(F.transform(F.split("t", "\n"), line_key)))
     lines = docs.where("id is not null").select("id", keys.alias("key")).where(F.length("key") >= min_chars)
     lines = lines.select("id", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(7), "key").alias("h2"))
     common = lines.groupBy("h", "h2").agg(F.count("*").alias("n"), F.max("id").alias("home")).where(F.col("n") >= min_docs)
-    lost = lines.join(common, ["h", "h2"]).where("id < home").groupBy("id").agg(F.collect_set("h").alias("lost"))
+    lost = lines.join(common.hint("shuffle_hash"), ["h", "h2"]).where("id < home").groupBy("id").agg(F.collect_set("h").alias("lost"))
     stays = F.filter(F.split("t", "\n"), lambda x: ~F.array_contains("lost", F.xxhash64(line_key(x))))
-    out = docs.join(lost, "id", "left").select("id", "t", F.when(F.col("lost").isNotNull(), stays).alias("stay"))
+    out = docs.join(lost.hint("shuffle_hash"), "id", "left").select("id", "t", F.when(F.col("lost").isNotNull(), stays).alias("stay"))
     n_lines = (F.length("t") - F.length(F.replace("t", F.lit("\n"))) + 1).cast("long")
     n_stay = F.when(F.col("stay").isNull(), n_lines).otherwise(F.size("stay").cast("long"))
     return out.select(F.col("id").alias(id_col), n_lines.alias("n_lines"), (n_lines - n_stay).alias("n_dropped"), F.when(F.col("stay").isNull(), F.col("t")).otherwise(F.array_join("stay", "\n")).alias("kept_text"))

@@ -39,8 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mix takes it; one that it does not take goes."""
     copies = mix(docs).select(F.col("doc_id").alias("mixed"), "copies").groupBy("mixed").agg(F.max("copies").alias("copies")).where("copies > 0")
-    times = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed"]))
-    return times.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_of_mix")).drop("copy_of_mix")
+    times = copies.select("mixed", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time"))
+    return docs.join(times, docs["doc_id"].eqNullSafe(times["mixed"])).select(*[docs[c] for c in docs.columns])
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

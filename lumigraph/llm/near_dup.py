@@ -78,24 +78,60 @@ def estimate(a: Column, b: Column) -> Column:
     return (same / MINIMA - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets have den * intersection >= num * union."""
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        last, of = None, None
-        for batch in batches:
-            ok, a_ids, a_texts, b_texts = [], batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-            for i, a in enumerate(a_ids):
-                if of is None or a != last:
-                    last, of = a, np.unique(shingles(word_hashes(a_texts[i].as_py()), size))
-                other = np.unique(shingles(word_hashes(b_texts[i].as_py()), size))
-                shared = len(np.intersect1d(of, other, assume_unique=True))
-                ok.append(den * shared >= num * (len(of) + len(other) - shared))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    a, b = (texts.select(F.col("id").alias(x), F.col("t").alias(f"{x}_t")) for x in ("src", "dst"))
-    return pairs.join(b, "dst").join(a, "src").select("src", "dst", "src_t", "dst_t").mapInArrow(run, f"src {kind}, dst {kind}")
+class _Links:
+    """Which of candidate pairs (src, dst) are linked: by estimate first, then on full sets."""
+
+    def __init__(self, sigs: DataFrame, texts: DataFrame, size: int, num: int, den: int):
+        self.sigs, self.texts, self.size, self.num, self.den = sigs, texts, size, num, den
+
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """(src, dst, likeness, near): near unless sizes or signatures put them too far apart."""
+        a, b = (self.sigs.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_s")) for x in ("src", "dst"))
+        both = pairs.join(a, "src").join(b, "dst")
+        sized = F.least("src_n", "dst_n") * self.den >= F.greatest("src_n", "dst_n") * self.num
+        both = both.select("src", "dst", estimate(F.col("src_s"), F.col("dst_s")).alias("likeness"), sized.alias("sized"))
+        return both.select("src", "dst", "likeness", (F.col("sized") & (F.col("likeness") >= self.num / self.den - SLACK)).alias("near"))
+
+    def confirmed(self, estimated: DataFrame) -> DataFrame:
+        """The near pairs whose full shingle sets have den * intersection >= num * union."""
+        kind, size, num, den = self.texts.schema["id"].dataType.simpleString(), self.size, self.num, self.den
+
+        def run(batches):
+            last, of = None, None
+            for batch in batches:
+                ok, a_ids, a_texts, b_texts = [], batch.column(0).to_pylist(), batch.column(2), batch.column(3)
+                for i, a in enumerate(a_ids):
+                    if of is None or a != last:
+                        last, of = a, np.unique(shingles(word_hashes(a_texts[i].as_py()), size))
+                    other = np.unique(shingles(word_hashes(b_texts[i].as_py()), size))
+                    shared = len(np.intersect1d(of, other, assume_unique=True))
+                    ok.append(den * shared >= num * (len(of) + len(other) - shared))
+                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+        a, b = (self.texts.select(F.col("id").alias(x), F.col("t").alias(f"{x}_t")) for x in ("src", "dst"))
+        return estimated.where("near").select("src", "dst").join(b, "dst").join(a, "src").select("src", "dst", "src_t", "dst_t").mapInArrow(run, f"src {kind}, dst {kind}")
+
+    def deltas(self, placed: DataFrame) -> DataFrame:
+        """placed (pivot, id, ...) with n and n_pivot, the sizes of both sets, and d, what only one of them has."""
+        size, names = self.size, [*placed.columns, "n", "n_pivot", "d"]
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema) + ", n bigint, n_pivot bigint, d array<bigint>"
+        width = len(placed.columns)
+
+        def run(batches):
+            last, of = None, None
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part, rows = batch.slice(lo, 512), []
+                    for i, p in enumerate(part.column(0).to_pylist()):
+                        if of is None or p != last:
+                            last, of = p, np.unique(shingles(word_hashes(part.column(width)[i].as_py()), size))
+                        own = np.unique(shingles(word_hashes(part.column(width + 1)[i].as_py()), size))
+                        rows.append((len(own), len(of), np.setxor1d(own, of, assume_unique=True).view(np.int64)))
+                    found = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.list_(pa.int64())))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *found], names)
+
+        own, of = self.texts.select("id", F.col("t").alias("own_t")), self.texts.select(F.col("id").alias("pivot"), F.col("t").alias("pivot_t"))
+        return placed.join(own, "id").join(of, "pivot").select(*placed.columns, "pivot_t", "own_t").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,12 +144,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     does a row without id. Repeated rows share a set and so a component; other columns are ignored.
 
     Equal sets meet first, by digest, and go on as one document, the one with the smallest id. Each then
-    enters BANDS buckets. All members of a bucket are compared with one of them, its pivot; what links is
-    joined to components. Buckets whose members are still apart are gone over again with a pivot from
-    outside the largest component, and at last every member outside it is compared with all others of
-    other components, so no link between different components is lost and a bucket of very many copies
-    costs a few rows a member. b-bit signatures pass over pairs that are surely too far apart; texts of
-    the rest are compared in full.
+    enters BANDS buckets. All members of a bucket are compared with one of them, its pivot (the smallest
+    id); what links is joined to components. Where members of a bucket are then still apart, the links
+    that remain are found by what members have more or less than the pivot, see _between_components. So a
+    bucket of very many copies costs a few rows a member, and no link is lost. b-bit signatures pass over
+    pairs that are surely too far apart; texts of the rest are compared in full.
     """
     num, den = similarity
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
@@ -125,47 +160,67 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot")).where("members > 1")
     members = materialize(rows.join(shared, "bucket").select("bucket", "id", "pivot"), "buckets")
     texts = materialize(docs.where("id is not null").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    sigs = own.select("id", "n", "sig")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (src, dst): those that are linked."""
-        a, b = (sigs.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_s")) for x in ("src", "dst"))
-        both = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct().join(a, "src").join(b, "dst")
-        sized = F.least("src_n", "dst_n") * den >= F.greatest("src_n", "dst_n") * num
-        near = both.where(sized & (estimate(F.col("src_s"), F.col("dst_s")) >= num / den - SLACK)).select("src", "dst")
-        return _confirmed(near, texts, shingle_words, num, den)
-
-    edges = materialize(links(members.select(F.col("pivot").alias("src"), F.col("id").alias("dst"))), "links")
-    if not members.isEmpty():
-        edges, members = _between_components(edges, members, links)
-    components = connected_components(edges)
+    links = _Links(own.select("id", "n", "sig"), texts, shingle_words, num, den)
+    pivots = materialize(links.estimated(members.where("pivot < id").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()), "pivots")
+    edges = materialize(links.confirmed(pivots), "links")
+    components = _between_components(edges, members, pivots, links)
     of_first = firsts.join(components, firsts["id"] == components["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n", "d1", "d2").join(of_first, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _apart(members: DataFrame, components: DataFrame) -> DataFrame:
-    """(bucket, id, pivot, c, main) of buckets whose members are in several components; main is the one most of them are in."""
+def _apart(members: DataFrame, pivots: DataFrame, edges: DataFrame, components: DataFrame, far: float) -> DataFrame:
+    """(bucket, id, pivot, c, place) of buckets whose members are in several components.
+
+    c is the member's component; place is "linked" with the pivot, "far" from it (surely less alike than
+    far) or "between".
+    """
     named = members.join(components, members["id"] == components["node"], "left").select("bucket", "id", "pivot", F.coalesce("component", "id").alias("c"))
-    sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("cs"), F.max_by("c", F.struct("k", "c")).alias("main")).where("cs > 1").select("bucket", "main")
-    return named.join(mixed, "bucket")
-
-
-def _between_components(edges: DataFrame, members: DataFrame, links, rounds: int = 3, few: int = 16):
-    """Adds the links between members of a bucket that the pivots have left in different components."""
-    for turn in range(rounds):
-        apart = materialize(_apart(members, connected_components(edges)), "apart")
-        outside = apart.where("c <> main")
-        heavy = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("out"), F.max_by("id", F.xxhash64("id", F.lit(turn))).alias("next")).where(F.col("out") > few)
-        pairs = apart.where("id <> pivot").join(heavy, "bucket").select(F.col("next").alias("src"), F.col("id").alias("dst"))
-        if pairs.isEmpty():
-            break
-        edges = materialize(edges.unionByName(materialize(links(pairs), "links")), "links")
-    else:
-        apart = materialize(_apart(members, connected_components(edges)), "apart")
-    a = apart.where("c <> main and id <> pivot").select("bucket", F.col("id").alias("src"), F.col("c").alias("src_c"))
-    b = apart.where("id <> pivot").select("bucket", F.col("id").alias("dst"), F.col("c").alias("dst_c"), "main")
-    last = a.join(b, "bucket").where("src_c <> dst_c and (dst_c = main or src < dst)").select("src", "dst")
-    return materialize(edges.unionByName(links(last)), "links"), members
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("bucket")
+    known = pivots.select(F.col("src").alias("pivot"), F.col("dst").alias("id"), "likeness").join(edges.select(F.col("src").alias("pivot"), F.col("dst").alias("id"), F.lit(True).alias("linked")), ["pivot", "id"], "left")
+    placed = named.join(mixed, "bucket", "left_semi").join(known, ["pivot", "id"], "left")
+    place = F.when((F.col("id") == F.col("pivot")) | F.col("linked"), "linked").when(F.col("likeness") + SLACK < far, "far").otherwise("between")
+    return placed.select("bucket", "id", "pivot", "c", place.alias("place"))
+
+
+def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame, links: _Links) -> DataFrame:
+    """(node, component) by edges and by the links between members of a bucket that its pivot has left in different components.
+
+    Two sets link if their symmetric difference is at most r times the sum of their sizes. Let D(x) be the
+    symmetric difference of x and the pivot P. A set o that P doesn't link with has |D(o)| > r (|o| + |P|), and
+    for any m the difference of o and m is |D(o)| + |D(m)| - 2 |D(o) & D(m)|. So a link of o and m takes some
+    number t > 0 of elements that D(o) and D(m) share, and more than (|D(m)| + r (|P| - |m|)) / 2 whatever o is.
+    Elements of all D are ranked from the rarest on: the first that two sets share has t - 1 more after it in
+    both. Members join on such elements, not on the bucket.
+
+    Members that are far from the pivot would have long differences. Distance is a metric, so they can't link
+    with what the pivot links with; they are few and meet the others of their bucket directly.
+    """
+    far = 1 - 2 * (1 - links.num / links.den)
+    components = connected_components(edges)
+    apart = materialize(_apart(members, pivots, edges, components, far), "apart")
+    if apart.isEmpty():
+        return components
+    a, b = (apart.select("bucket", F.col("id").alias(x), F.col("c").alias(f"{x}_c"), "place") for x in ("src", "dst"))
+    beside = a.where("place = 'far'").drop("place").join(b.where("place <> 'linked'").drop("place"), "bucket").where("src_c <> dst_c").select("src", "dst")
+    placed = apart.where("place <> 'far'").groupBy("pivot", "id").agg(F.first("c").alias("c"), F.first("place").alias("place"))
+    deltas = materialize(links.deltas(placed.where("pivot <> id")), "deltas")
+    each = deltas.select("pivot", "id", "c", "place", "n", "n_pivot", F.size("d").alias("size"), F.explode("d").alias("e"))
+    common = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("pivot", "e", "df")
+    shared = each.join(common, ["pivot", "e"])
+    # elements that no other component has come first in the order of rarity; they can't be shared, but count as ranks
+    held = F.sort_array(F.collect_list(F.struct("df", "e")))
+    both, apart_by = links.den + links.num, links.den - links.num
+    lists = shared.groupBy("pivot", "id", "c", "place", "size", "n", "n_pivot").agg(held.alias("xs"))
+    ranked = lists.select("pivot", "id", "c", "place", "size", "n", "n_pivot", F.posexplode("xs").alias("at", "x"), F.size("xs").alias("held"))
+    ranked = ranked.select("pivot", "id", "c", "place", "size", "n", "n_pivot", F.col("x.e").alias("e"), (F.col("size") - F.col("held") + F.col("at")).alias("rank"))
+    enough = F.floor((both * F.col("size") + apart_by * (F.col("n_pivot") - F.col("n"))) / F.lit(2 * both))
+    named = lambda rows, x: rows.select("pivot", "e", *[F.col(c).alias(f"{x}_{c}") for c in ("c", "size", "n", "rank")], F.col("id").alias(x))
+    heads, others = named(ranked.where(F.col("rank") < F.col("size") - enough), "dst"), named(ranked.where("place = 'between'"), "src")
+    share = F.greatest(F.lit(1), F.ceil((both * (F.col("src_size") + F.col("dst_size")) - apart_by * (F.col("src_n") + F.col("dst_n"))) / F.lit(2 * both)))
+    can = (F.col("src_c") != F.col("dst_c")) & (F.col("src_rank") + share <= F.col("src_size")) & (F.col("dst_rank") + share <= F.col("dst_size"))
+    within = others.join(heads, ["pivot", "e"]).where(can).select("src", "dst")
+    pairs = within.unionByName(beside).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    found = materialize(links.confirmed(links.estimated(pairs)), "links")
+    return components if found.isEmpty() else connected_components(edges.unionByName(found))

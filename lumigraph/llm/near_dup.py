@@ -202,8 +202,12 @@ def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame,
     apart = materialize(_apart(members, pivots, edges, components, far), "apart")
     if apart.isEmpty():
         return components
-    a, b = (apart.select("bucket", F.col("id").alias(x), F.col("c").alias(f"{x}_c"), "place") for x in ("src", "dst"))
-    beside = a.where("place = 'far'").drop("place").join(b.where("place <> 'linked'").drop("place"), "bucket").where("src_c <> dst_c").select("src", "dst")
+    loose = apart.where("place <> 'linked'")
+    loose = loose.join(loose.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
+    a, b = (loose.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("c", "place", "buckets")], F.col("id").alias(x)) for x in ("src", "dst"))
+    # a pair meets in the least bucket that both are in
+    once = (F.col("src_c") != F.col("dst_c")) & ((F.col("dst_place") == "between") | (F.col("src") < F.col("dst"))) & (F.col("bucket") == F.array_min(F.array_intersect("src_buckets", "dst_buckets")))
+    beside = a.where("src_place = 'far'").join(b, "bucket").where(once).select("src", "dst")
     placed = apart.where("place <> 'far'").groupBy("pivot", "id").agg(F.first("c").alias("c"), F.first("place").alias("place"))
     deltas = materialize(links.deltas(placed.where("pivot <> id")), "deltas")
     each = deltas.select("pivot", "id", "c", "place", "n", "n_pivot", F.size("d").alias("size"), F.explode("d").alias("e"))

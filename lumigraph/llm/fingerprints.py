@@ -150,7 +150,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     copies = spark.createDataFrame([(p, i) for p, i in ahead.items()], "part int, id bigint")
     after = docs.join(F.broadcast(copies), "id").select("part", "id", "t", F.lit(True).alias("only"))
     both = placed.select("part", "id", "t", F.lit(False).alias("only")).unionByName(after)
-    return both.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "only", "id", "t")
+    return both.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "only", "id", "t")
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

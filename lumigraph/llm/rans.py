@@ -21,6 +21,7 @@ LOW = np.uint64(1 << 31)
 STRETCH = 1 << 19
 MOST_LANES = 2048
 MAGIC = b"LGR1"
+DAMAGED = "checksum differs: the block is damaged"
 _U = np.uint64
 
 
@@ -121,12 +122,15 @@ def decode_from(data: bytes, at: int, model: Model) -> np.ndarray:
         out[lo : lo + len(y)] = s
         y = model.freqs[s].astype(np.uint64) * (y >> _U(SCALE_BITS)) + slot - model.starts[s]
         low = np.flatnonzero(y < LOW)
+        if read + len(low) > n_words:
+            raise ValueError(DAMAGED)
         y[low] = (y[low] << _U(32)) | words[read : read + len(low)]
         read += len(low)
         x[: len(y)] = y
     ids = model.ids[out] if n else out
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-        raise ValueError("checksum differs: the block is damaged")
+    # encoding started from LOW in every lane, so decoding must end there; this covers words that no id depends on
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc or read != n_words or (x != LOW).any():
+        raise ValueError(DAMAGED)
     return ids
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,8 +83,10 @@ class Vocabulary:
         self.pre_tokens = _Known(lambda s: tuple([x.id for x in model.tokenize(spell(s))]))
 
     def _chunk(self, chunk: bytes) -> tuple[int, ...]:
+        if chunk.isalpha():  # ASCII letters: one pre-token
+            return self.pre_tokens[chunk.lower().decode()]
         text = chunk.decode()
-        if "<|" in text or not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+        if "<|" in text or not _PLAIN.fullmatch(text):
             return tuple(self.encode(text))
         found = _PRE_TOKEN.findall(text.lower())
         if len(found) == 1:

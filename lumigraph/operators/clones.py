@@ -51,6 +51,7 @@ def clone_analysis(fingerprints: DataFrame, file_path: str, min_similarity: floa
         F.max("similarity").alias("max_candidate_similarity"),
     )
     out = own.join(F.broadcast(found)).withColumn("filtered_by_threshold", F.col("candidate_files") - F.col("surviving_candidates"))
+    # The reasons' wording
     too_low = f"all clone candidates were filtered by min_similarity={min_similarity:.3f}; try lowering the threshold"
     reason = F.when(F.col("surviving_candidates") > 0, F.lit(None).cast("string")).when(F.col("candidate_files") == 0, "no overlapping fingerprints with other files").otherwise(too_low)
     return out.withColumn("suggested_min_similarity", F.greatest(F.col("max_candidate_similarity") * 0.9, F.lit(0.0))).withColumn("empty_reason", reason)

@@ -19,6 +19,8 @@ BITS = 2
 WORDS = MINIMA * BITS // 64
 # The estimate's standard deviation is 0.03 at 0.8; a pair must fall short by six of them to be passed over unread.
 SLACK = 0.18
+# Up to so many members of a bucket that its pivot doesn't link with meet directly.
+CROWD = 32
 _A = (np.random.RandomState(1).randint(0, 1 << 31, MINIMA).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.RandomState(2).randint(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 
@@ -194,21 +196,25 @@ def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame,
     Elements of all D are ranked from the rarest on: the first that two sets share has t - 1 more after it in
     both. Members join on such elements, not on the bucket.
 
-    Members that are far from the pivot would have long differences. Distance is a metric, so they can't link
-    with what the pivot links with; they are few and meet the others of their bucket directly.
+    Members that are far from the pivot have long differences. Distance is a metric, so they can't link with
+    what the pivot links with; where they are few they meet the others of their bucket directly.
     """
     far = 1 - 2 * (1 - links.num / links.den)
     components = connected_components(edges)
     apart = materialize(_apart(members, pivots, edges, components, far), "apart")
     if apart.isEmpty():
         return components
-    loose = apart.where("place <> 'linked'")
+    # where very many members are loose, they too are compared by differences; these are long, but few are shared
+    crowds = apart.where("place <> 'linked'").groupBy("bucket").agg(F.count(F.lit(1)).alias("loose")).where(F.col("loose") > CROWD).select("bucket", F.lit(True).alias("crowd"))
+    apart = apart.join(crowds, "bucket", "left").withColumn("place", F.when(F.col("crowd") & (F.col("place") == "far"), "between").otherwise(F.col("place")))
+    loose = apart.where("place <> 'linked' and crowd is null").drop("crowd")
     loose = loose.join(loose.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
     a, b = (loose.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("c", "place", "buckets")], F.col("id").alias(x)) for x in ("src", "dst"))
     # a pair meets in the least bucket that both are in
     once = (F.col("src_c") != F.col("dst_c")) & ((F.col("dst_place") == "between") | (F.col("src") < F.col("dst"))) & (F.col("bucket") == F.array_min(F.array_intersect("src_buckets", "dst_buckets")))
     beside = a.where("src_place = 'far'").join(b, "bucket").where(once).select("src", "dst")
-    placed = apart.where("place <> 'far'").groupBy("pivot", "id").agg(F.first("c").alias("c"), F.first("place").alias("place"))
+    # a member that is in a crowd with a pivot is "between" for it, whatever it is in smaller buckets; "linked" is so in all
+    placed = apart.where("place <> 'far'").groupBy("pivot", "id").agg(F.first("c").alias("c"), F.max("place").alias("place"))
     deltas = materialize(links.deltas(placed.where("pivot <> id")), "deltas")
     each = deltas.select("pivot", "id", "c", "place", "n", "n_pivot", F.size("d").alias("size"), F.explode("d").alias("e"))
     common = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("pivot", "e", "df")

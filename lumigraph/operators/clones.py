@@ -64,15 +64,29 @@ def clone_hotspots(fingerprints: DataFrame, file_path: str, min_similarity: floa
     return page(spots, [F.desc("avg_similarity"), F.desc("files"), F.col("directory")], limit, offset)
 
 
+def _sets(fingerprints: DataFrame) -> DataFrame:
+    return fingerprints.groupBy("file_path").agg(F.sort_array(F.collect_set("fp_hash")).alias("hashes"))
+
+
+def clone_members(fingerprints: DataFrame) -> DataFrame:
+    """(file_path, representative, members), a row for each file: the least path of all files of its fingerprint set, and how many those are.
+
+    All members of a set are clones of similarity 1 of one another, and each has every link that clone_pairs
+    gives the representative; so both tables together hold every pair of files without a row for each.
+    """
+    sets = _sets(fingerprints)
+    reps = sets.groupBy("hashes").agg(F.min("file_path").alias("representative"), F.count(F.lit(1)).alias("members"))
+    return sets.join(reps, "hashes").select("file_path", "representative", "members")
+
+
 def clone_pairs(fingerprints: DataFrame, min_similarity: float) -> DataFrame:
     """(file_a, file_b, shared, similarity) of all pairs of files with different fingerprint sets, file_a < file_b.
 
     Files of one fingerprint set stand for one another: the least path of them is compared, so copies do
-    not multiply. Only hashes among a file's rarest are joined: a pair that reaches min_similarity shares
+    not multiply; clone_members tells which files each stands for. Only hashes among a file's rarest are joined: a pair that reaches min_similarity shares
     one of the first n - ceil(n * min_similarity) + 1 in an order that all files agree on.
     """
-    sets = fingerprints.groupBy("file_path").agg(F.sort_array(F.collect_set("fp_hash")).alias("hashes"))
-    sets = sets.groupBy("hashes").agg(F.min("file_path").alias("file"))
+    sets = _sets(fingerprints).groupBy("hashes").agg(F.min("file_path").alias("file"))
     each = sets.select("file", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = each.join(common, "h").groupBy("file", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("xs"))

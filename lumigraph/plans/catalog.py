@@ -256,6 +256,12 @@ def clone_all_pairs(spark, sf_dir):
     return clones.clone_pairs(_prints(spark, sf_dir), 0.5)
 
 
+@query(f"""with {_PRINTS}, sets as (select file_path, list_sort(list(distinct fp_hash)) as hs from prints group by 1)
+select file_path, min(file_path) over (partition by hs) as representative, count(*) over (partition by hs) as members from sets""")
+def clone_members(spark, sf_dir):
+    return clones.clone_members(_prints(spark, sf_dir))
+
+
 # Discovery and selectors.
 def _rank(order: tuple[str, ...], other: int) -> str:
     return "case entity_type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(order)) + f" else {other} end"

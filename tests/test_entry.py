@@ -24,3 +24,7 @@ def test_against_sql(spark, name):
     found = entry.queries()[name](spark, SF)
     assert sorted(found.columns) == sorted(want.columns)
     assert sorted(repr([plain(r[c]) for c in sorted(found.columns)]) for r in found.collect()) == rows
+
+
+def test_clone_members_against_sql(spark):
+    test_against_sql(spark, "clone_members")

@@ -73,6 +73,22 @@ def test_clone_pairs_against_brute_force(spark):
         assert {(r.file_a, r.file_b): r.shared for r in clones.clone_pairs(rows, least).collect()} == want
 
 
+def test_pairs_and_members_hold_every_clone(spark):
+    rng = random.Random(6)
+    kinds = [{rng.randint(0, 25) for _ in range(rng.randint(1, 14))} for _ in range(12)] + [{100, 101}]  # the last is near nothing else
+    sets = {f"f{i}": kinds[i % len(kinds)] for i in range(40)}
+    rows = spark.createDataFrame([(f, h, k, k + 5) for f, hs in sets.items() for h in hs for k in (0, 9)], schema.FINGERPRINTS)
+    of: dict[str, list[str]] = {}
+    for r in clones.clone_members(rows).collect():
+        of.setdefault(r.representative, []).append(r.file_path)
+        assert r.members == sum(hs == sets[r.file_path] for hs in sets.values())
+    got = {(a, b): 1.0 for fs in of.values() for a in fs for b in fs if a < b}
+    for r in clones.clone_pairs(rows, 0.5).collect():
+        got.update({(min(a, b), max(a, b)): r.similarity for a in of[r.file_a] for b in of[r.file_b]})
+    alike = {(a, b): len(sets[a] & sets[b]) / max(len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
+    assert got == {k: v for k, v in alike.items() if v >= 0.5}
+
+
 def test_selectors(small):
     assert parse_selector("file:a\\b") == Selector("file", "a/b") and parse_selector("symbol_name:rust:foo") == Selector("symbol_name", "foo", "rust")
     assert parse_selector("symbol:main") == Selector("name", "main") and parse_selector("module:rust:x") == Selector("key", "module:rust:x") and parse_selector(" bare ") == Selector("auto", "bare")

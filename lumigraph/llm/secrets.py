@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from functools import cache
 from itertools import pairwise
 
@@ -34,25 +35,39 @@ _SERVICE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SERVICE_KEYS.items())
 _SERVICE_START = re.compile("AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|[rs]k_(?:live|test)_|eyJ")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _NAME = re.compile(r"([A-Za-z_][\w.-]*)[\"']?\s{0,4}$")
-_VALUE = re.compile(r"\s{0,4}[\"']?([^\s\"'<>,;]{6,512})")
+_VALUE = re.compile(r"\s{0,4}[\"']?([^\s\"'<>,;]{6,})")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _AROUND = 64
+# So many characters into an assigned value, a service key or another assignment is a place of its own and ends the value.
+_OWN_PLACE = 512
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what may be a secret, in order; of overlapping ones the first kind in the order service key, assigned value, long string."""
-    found = []
+    found, assigned, places = [], [], []
     for m in _SERVICE_START.finditer(text):
         if k := _SERVICE.match(text, m.start()):
             if not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
                 found.append((k.start(), k.end(), k.lastgroup))
+                places.append((k.start(), k.start()))
     for mark in "=:":
-        at = text.find(mark)
+        at, end = text.find(mark), 0
         while at >= 0:
             name = _NAME.search(text, max(0, at - 80), at)
-            if name and any(x in name[1].lower() for x in SECRET_NAMES) and (v := _VALUE.match(text, at + 1)):
-                found.append((v.start(1), v.end(1), "assigned"))
+            if name and any(x in name[1].lower() for x in SECRET_NAMES):
+                if at + 1 < end:  # within the value before, which ends where this one does
+                    a = at + 1 if end - at > 6 else None
+                else:
+                    v = _VALUE.match(text, at + 1)
+                    a, end = v.span(1) if v else (None, end)
+                if a is not None:
+                    assigned.append((a, end))
+                    places.append((a, name.start(1)))
             at = text.find(mark, at + 1)
+    places.sort()
+    for a, b in assigned:
+        i = bisect_left(places, (a + _OWN_PLACE,))
+        found.append((a, max(a + _OWN_PLACE, places[i][1]) if i < len(places) and places[i][0] < b else b, "assigned"))
     for m in _LONG.finditer(text):
         if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             found.append((m.start(), m.end(), "long_string"))

@@ -71,12 +71,13 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for m in _LONG.finditer(text):
         if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             found.append((m.start(), m.end(), "long_string"))
-    out: list[tuple[int, int, str]] = []
+    out: list[tuple[int, int, str]] = []  # in order and apart, so only the neighbours of a place can overlap it
     rank = {"assigned": 1, "long_string": 2}
     for f in sorted(found, key=lambda x: (rank.get(x[2], 0), x)):
-        if all(f[1] <= a or b <= f[0] for a, b, _ in out[-64:]):
-            out.append(f)
-    return sorted(set(out))
+        i = bisect_left(out, f)
+        if (not i or out[i - 1][1] <= f[0]) and (i == len(out) or f[1] <= out[i][0]):
+            out.insert(i, f)
+    return out
 
 
 def _kind(c: str) -> int:

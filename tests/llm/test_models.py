@@ -129,3 +129,12 @@ def test_long_assigned_values_are_whole():
     assert got[0] == long + "&" and got[1].startswith(inner) and got[2] == key and "".join(got) == text.replace("auth=", "").replace("token=", "")
     many = secrets.candidates("token=" * 100_000)
     assert many[0] == (6, 518, "assigned") and len(many) > 1000
+
+
+def test_each_place_is_found_once():
+    rng = random.Random(5)
+    keys = ["ghp_" + "".join(rng.choice("abcdefABCDEF0123456789") for _ in range(36)) for _ in range(300)]
+    text = "\n".join(f"token={k}" for k in keys)
+    assert [(text[a:b], kind) for a, b, kind in secrets.candidates(text)] == [(k, "github_token") for k in keys]
+    text = "\n".join(f"token={k[4:]}" for k in keys)
+    assert [(text[a:b], kind) for a, b, kind in secrets.candidates(text)] == [(k[4:], "assigned") for k in keys]

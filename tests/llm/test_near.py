@@ -149,3 +149,36 @@ def test_contamination(spark, make_docs):
     assert {(r.doc_id, r.item_id) for r in got} == want | {(902, 3), (903, 4)}
     assert sum(r.doc_id == 902 for r in got) == 2 and all(r.score == 1.0 for r in got if r.doc_id >= 900)
     assert find_contamination(make_docs(rows), bench.where("false")).count() == 0 and find_contamination(make_docs([]), bench).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_contamination_against_alignment_of_all_pairs(spark, make_docs, least):
+    rng = random.Random(8)
+    common = lambda n: [f"c{rng.randint(0, 30)}" for _ in range(n)]
+    items = [common(12) for _ in range(12)] + [common(n) for n in (1, 2, 3, 5, 25)]
+    for k, words in enumerate(items[:12]):
+        for j in (3, 6, 9):
+            words[j] = f"rare{k}x{j}"
+    rows = []
+    for d in range(240):
+        item = items[d % len(items)]
+        way = d % 4
+        if way == 0:
+            copy = ["new" if w.startswith("rare") else w for w in item]  # the rare words are replaced
+        elif way == 1:
+            copy = [x for w in item for x in ((w, "new") if rng.random() < 0.9 else (w,))]  # hardly two words are left together
+        elif way == 2:
+            copy = [w for w in item if rng.random() < 0.8]
+        else:
+            copy = []
+        rows.append((d, " ".join(common(rng.randint(0, 60)) + copy + common(rng.randint(0, 60)))))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    want = {}
+    number = {w: k for k, w in enumerate(sorted({w for _, t in rows for w in t.split()} | {w for x in items for w in x}))}
+    for d, text in rows:
+        for i, item in enumerate(items):
+            score, _ = align(np.array([[number[w] for w in item]]), np.array([[number[w] for w in text.split()] or [-2]]))
+            if (share := int(score[0]) / (2 * len(item))) >= least:
+                want[d, i] = share
+    got = find_contamination(make_docs(rows), bench, min_score=least).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.item_id): r.score for r in got} == want

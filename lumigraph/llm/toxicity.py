@@ -214,7 +214,7 @@ class Model:
             self._learn(sorted(new))
         for i, words in held:
             out[i] = max(out[i], *map(self.known.__getitem__, words)) if words else out[i]
-            if len(self.singles.intersection(words)) >= SPELLED - 1:
+            if sum(map(self.singles.__contains__, words)) >= SPELLED:
                 out[i] = max(out[i], *self._spelled(words))
 
     def _spelled(self, words: list[str]) -> list[float]:

@@ -138,3 +138,8 @@ def test_each_place_is_found_once():
     assert [(text[a:b], kind) for a, b, kind in secrets.candidates(text)] == [(k, "github_token") for k in keys]
     text = "\n".join(f"token={k[4:]}" for k in keys)
     assert [(text[a:b], kind) for a, b, kind in secrets.candidates(text)] == [(k[4:], "assigned") for k in keys]
+
+
+def test_spelled_words_of_two_letters():
+    model = toxicity.Model(["poop"], np.array([4.0], np.float32), -1.0)
+    assert model.margins(["the inan p o o p anst"])[0] == pytest.approx(3.0) and model.margins(["the inan p o o anst"])[0] == -1.0

@@ -27,11 +27,11 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def _forms(word: str) -> set[str]:
-    """What a word is compared as: without marks at its ends, and by its letters alone; long ones by windows."""
+    """What a word is compared as: without marks at its ends, by its letters alone, and by each piece between inner marks; long ones by windows."""
     bare = word.lower()
     if not bare.isalpha():
         bare = _EDGES.sub("", bare)
-    forms = {bare} if bare.isalpha() else {bare, _NOT_LETTERS.sub("", bare)}
+    forms = {bare} if bare.isalpha() else {bare, _NOT_LETTERS.sub("", bare), *(p for p in _NOT_LETTERS.split(bare) if len(p) >= ORDER)}
     return {f[i : i + WINDOW] for f in forms for i in range(0, max(1, len(f) - WINDOW + STEP), STEP)}
 
 

@@ -143,3 +143,10 @@ def test_each_place_is_found_once():
 def test_spelled_words_of_two_letters():
     model = toxicity.Model(["poop"], np.array([4.0], np.float32), -1.0)
     assert model.margins(["the inan p o o p anst"])[0] == pytest.approx(3.0) and model.margins(["the inan p o o anst"])[0] == -1.0
+
+
+def test_insults_beside_inner_marks():
+    rows, labels = corpus()
+    model = toxicity.train([t for _, t in rows], np.array([y == 1 for _, y in labels]))
+    assert (model.scores([f"the inan {t} anst" for t in ("you,idiot", "you/idiot", "you...idiot", "idiot-thing", "the_moron_on")]) >= 0.5).all()
+    assert (model.scores(["the inan you,inan anst", "er/the/on...st"]) < 0.5).all()

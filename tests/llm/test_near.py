@@ -182,3 +182,11 @@ def test_contamination_against_alignment_of_all_pairs(spark, make_docs, least):
                 want[d, i] = share
     got = find_contamination(make_docs(rows), bench, min_score=least).collect()
     assert len(got) == len(want) and {(r.doc_id, r.item_id): r.score for r in got} == want
+
+
+def test_contamination_by_each_text_of_an_item(spark, make_docs):
+    one, two = ([f"{c}{k}" for k in range(20)] for c in "ab")
+    bench = spark.createDataFrame([(7, " ".join(one)), (7, " ".join(two)), (7, " ".join(two)), (7, None)], "item_id bigint, text string")
+    rows = [(1, "x " + " ".join(one)), (2, " ".join(two)), (3, " ".join(one[:15] + two)), (4, "x y z")]
+    got = find_contamination(make_docs(rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.score, r.end_word) for r in got) == [(1, 7, 1.0, 21), (2, 7, 1.0, 20), (3, 7, 1.0, 35)]

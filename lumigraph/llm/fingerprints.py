@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumigraph.llm.common import slices
+
 LEAST, NORMAL, MOST = 8, 32, 128
 WINDOW = 16  # bytes that a boundary depends on
 HARD, EASY = 6, 4  # bits that must be zero before and after NORMAL bytes
@@ -107,25 +109,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
 
     def run(batches):
-        for batch in batches:
-            for part in _slices(batch.column(1).to_pylist()):
-                ids = batch.column(0).slice(part.start, len(part))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(map(pack, fingerprints([batch.column(1)[i].as_py() for i in part])), pa.string())], [id_col, "fingerprint"])
+        for own, (texts,) in slices(batches, _BATCH, 1):
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(pack, fingerprints(texts)), pa.string())], [id_col, "fingerprint"])
 
     return docs.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
-def _slices(texts: list) -> list[range]:
-    """Ranges of texts of about _BATCH bytes."""
-    out, lo, size = [], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= _BATCH:
-            out.append(range(lo, i + 1))
-            lo, size = i + 1, 0
-    return out + ([range(lo, len(texts))] if lo < len(texts) else [])
-
-
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(part, id, t, only) of docs (id, t): sorted by id and text within a part, parts in ascending order of id.
 

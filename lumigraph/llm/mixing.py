@@ -55,19 +55,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
     docs = materialize(docs.withColumn("h", hashed), "sizes")
     targets = materialize(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat), "targets")
     named = targets.select("sid", F.col("source").alias("of"))
-    docs = materialize(docs.join(named, docs["source"].eqNullSafe(named["of"])).select("id", "sid", "size", "h"), "sizes")
+    docs = materialize(docs.join(named, docs["source"].eqNullSafe(named["of"])).select("id", "sid", "size", "h"), "sizes", docs.count())
+    n_sources = targets.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     # at: the hash's top bits of the bucket that the budget ends in; rest: what is left of the budget there
     state = targets.select("sid", whole.alias("whole"), F.lit(0).cast("long").alias("at")).join(targets, "sid")
-    state = state.select("sid", "at", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("inside"))
+    state = state.select("sid", "at", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"), F.lit(True).alias("several"), F.lit(0).cast("long").alias("inside"))
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         inside = docs.where("size > 0").join(state.select("sid", "at", "rest"), "sid").where(F.shiftright("h", shift + LEVEL_BITS) == F.col("at"))
-        buckets = inside.groupBy("sid", "rest", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("inside"), F.countDistinct("h").alias("n"))
+        buckets = inside.groupBy("sid", "rest", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("inside"), (F.min("h") < F.max("h")).alias("several"))
         upto = F.sum("inside").over(Window.partitionBy("sid").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
         buckets = buckets.withColumn("upto", upto).where("rest < upto and rest >= upto - inside")
-        found = buckets.select("sid", F.col("b").alias("at"), (F.col("rest") - F.col("upto") + F.col("inside")).alias("rest"), "n", "inside")
-        state = materialize(found, "thresholds")
-        if (state.agg(F.max("n")).first()[0] or 0) <= 1:
+        found = buckets.select("sid", F.col("b").alias("at"), (F.col("rest") - F.col("upto") + F.col("inside")).alias("rest"), "several", "inside")
+        state = materialize(found, "thresholds", n_sources)
+        if not state.agg(F.max("several")).first()[0]:
             break
     nearer = F.abs(F.col("rest") - F.col("inside")) < F.col("rest")
     below = state.select("sid", F.shiftleft(F.col("at") + nearer.cast("long"), shift).alias("below"))

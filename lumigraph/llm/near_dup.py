@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigraph.llm.common import connected_components, discard, materialize
-from lumigraph.llm.words import mix64, shingles, word_hashes
+from lumigraph.llm.common import connected_components, materialize, slices
+from lumigraph.llm.words import distinct_shingles, mix64
 
 # Bands of ROWS minima: two sets of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, that is
 # 1 - 3e-6 at 0.8 and 1 - 2e-9 at 0.85. Unrelated sets (0.05) share one with probability 7e-7.
@@ -21,6 +21,9 @@ WORDS = MINIMA * BITS // 64
 SLACK = 0.18
 # Up to so many members of a bucket that its pivot doesn't link with meet directly.
 CROWD = 32
+# Bytes of texts whose sets a task holds at once.
+SLICE = 2 << 20
+_TEXTS = 5_000  # rows with texts that a task writes on average at least, where there are so many
 _A = (np.random.RandomState(1).randint(0, 1 << 31, MINIMA).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.RandomState(2).randint(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 
@@ -35,38 +38,43 @@ def minima(elements: np.ndarray, step: int = 512) -> np.ndarray:
     return low
 
 
-def _signatures(batches, size: int, id_col: str):
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        n, both, bands, packed = [], [], [], []
-        for text in texts:
-            own = np.unique(shingles(word_hashes(text), size))
-            n.append(len(own))
-            raw = own.tobytes()
-            both.append(xxhash.xxh3_128_digest(raw))
-            low = minima(own)
-            bands.append([xxhash.xxh3_64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)])
-            bits = mix64(low.astype(np.uint64)) >> np.uint64(40)
-            unpacked = ((bits[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            packed.append(np.packbits(unpacked.ravel()).tobytes())
-        empty = np.array(n) == 0
-        digests = np.frombuffer(b"".join(both), "<i8").reshape(-1, 2)
-        keys = np.array(bands, np.uint64).reshape(len(n), BANDS).view(np.int64)
-        sigs = np.frombuffer(b"".join(packed), "<i8").reshape(len(n), WORDS)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, sigs)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests[:, 0], mask=empty), pa.array(digests[:, 1], mask=empty), *lists], [id_col, "n", "d1", "d2", "bands", "sig"])
+def _signatures(texts: list[bytes], size: int) -> list[pa.Array]:
+    n, both, bands, packed = [], [], [], []
+    for own in distinct_shingles(texts, size):
+        n.append(len(own))
+        both.append(xxhash.xxh3_128_digest(own.tobytes()))
+        low = minima(own)
+        bands.append([xxhash.xxh3_64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)])
+        bits = mix64(low.astype(np.uint64)) >> np.uint64(40)
+        unpacked = ((bits[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        packed.append(np.packbits(unpacked.ravel()).tobytes())
+    empty = np.array(n) == 0
+    digests = np.frombuffer(b"".join(both), "<i8").reshape(-1, 2)
+    keys = np.array(bands, np.uint64).reshape(len(n), BANDS).view(np.int64)
+    sigs = np.frombuffer(b"".join(packed), "<i8").reshape(len(n), WORDS)
+    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, sigs)]
+    return [pa.array(n, pa.int64()), pa.array(digests[:, 0], mask=empty), pa.array(digests[:, 1], mask=empty), *lists]
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, d1, d2, bands, sig) of docs (id, text as binary). d1 and d2 name the shingle set; they are null for the empty one."""
+    """(id, h, n, d1, d2, bands, sig) of docs (id, text as binary, h). d1 and d2 name the shingle set; they are null for the empty one."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                yield from _signatures([batch.slice(lo, 1024)], size, "id")
+        for own, (texts,) in slices(batches, SLICE, 1):
+            made = _signatures(texts, size)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *made], ["id", "h", "n", "d1", "d2", "bands", "sig"])
 
-    return docs.mapInArrow(run, f"id {id_type}, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sig array<bigint>")
+    return docs.mapInArrow(run, f"id {id_type}, h bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sig array<bigint>")
+
+
+def _beside(firsts: list, first_texts: list[bytes], texts: list[bytes], size: int):
+    """(set of the first text, set of the text) of each row; a first text that rows share one after another is read once."""
+    new = [i == 0 or x != firsts[i - 1] for i, x in enumerate(firsts)]
+    ahead, of = distinct_shingles([t for t, n in zip(first_texts, new, strict=True) if n], size), None
+    for n, own in zip(new, distinct_shingles(texts, size), strict=True):
+        of = next(ahead) if n else of
+        yield of, own
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -99,16 +107,12 @@ class _Links:
         kind, size, num, den = self.texts.schema["id"].dataType.simpleString(), self.size, self.num, self.den
 
         def run(batches):
-            last, of = None, None
-            for batch in batches:
-                ok, a_ids, a_texts, b_texts = [], batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-                for i, a in enumerate(a_ids):
-                    if of is None or a != last:
-                        last, of = a, np.unique(shingles(word_hashes(a_texts[i].as_py()), size))
-                    other = np.unique(shingles(word_hashes(b_texts[i].as_py()), size))
+            for own, (a_texts, b_texts) in slices(batches, SLICE, 2, 3):
+                ok = []
+                for of, other in _beside(own.column(0).to_pylist(), a_texts, b_texts, size):
                     shared = len(np.intersect1d(of, other, assume_unique=True))
                     ok.append(den * shared >= num * (len(of) + len(other) - shared))
-                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+                yield own.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
         a, b = (self.texts.select(F.col("id").alias(x), F.col("t").alias(f"{x}_t")) for x in ("src", "dst"))
         return estimated.where("near").select("src", "dst").join(b, "dst").join(a, "src").select("src", "dst", "src_t", "dst_t").mapInArrow(run, f"src {kind}, dst {kind}")
@@ -120,17 +124,10 @@ class _Links:
         width = len(placed.columns)
 
         def run(batches):
-            last, of = None, None
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part, rows = batch.slice(lo, 512), []
-                    for i, p in enumerate(part.column(0).to_pylist()):
-                        if of is None or p != last:
-                            last, of = p, np.unique(shingles(word_hashes(part.column(width)[i].as_py()), size))
-                        own = np.unique(shingles(word_hashes(part.column(width + 1)[i].as_py()), size))
-                        rows.append((len(own), len(of), np.setxor1d(own, of, assume_unique=True).view(np.int64)))
-                    found = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.list_(pa.int64())))]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *found], names)
+            for part, (of_texts, own_texts) in slices(batches, SLICE, width, width + 1):
+                rows = [(len(own), len(of), np.setxor1d(own, of, assume_unique=True).view(np.int64)) for of, own in _beside(part.column(0).to_pylist(), of_texts, own_texts, size)]
+                found = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *found], names)
 
         own, of = self.texts.select("id", F.col("t").alias("own_t")), self.texts.select(F.col("id").alias("pivot"), F.col("t").alias("pivot_t"))
         return placed.join(own, "id").join(of, "pivot").select(*placed.columns, "pivot_t", "own_t").mapInArrow(run, schema)
@@ -143,7 +140,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     shingle_words words, or all its words as one run where they are fewer. Documents link if intersection
     over union is similarity or more, on full sets; component_id is the smallest id that links lead to.
     A document without words (null, empty or blank text) has the empty set and links with nothing, nor
-    does a row without id. Repeated rows share a set and so a component; other columns are ignored.
+    does a row without id. Repeated rows share a set and so a component; of rows that repeat an id with
+    different texts one stands for the id, and all get its component. Other columns are ignored.
 
     Equal sets meet first, by digest, and go on as one document, the one with the smallest id. Each then
     enters BANDS buckets. All members of a bucket are compared with one of them, its pivot (the smallest
@@ -153,19 +151,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     pairs that are surely too far apart; texts of the rest are compared in full.
     """
     num, den = similarity
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).withColumn("h", F.xxhash64("t"))
     signed = materialize(signatures(docs, shingle_words), "signatures")
     sets = signed.where("id is not null and d1 is not null")
-    firsts = materialize(sets.groupBy("d1", "d2").agg(F.min("id").alias("id")), "firsts")
-    own = materialize(sets.join(firsts, ["d1", "d2", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "sig"), "sets")
+    first = F.min(F.struct("id", "h", "n", "bands", "sig")).alias("x")
+    firsts = materialize(sets.groupBy("d1", "d2").agg(first).select("d1", "d2", "x.*"), "firsts", signed.count())
+    n_sets = firsts.count()
+    own = firsts.groupBy("id").agg(F.min(F.struct("d1", "d2", "h", "n", "bands", "sig")).alias("x")).select("id", "x.*")
+    own = materialize(own.select("id", "h", "n", "bands", "sig"), "sets", n_sets)
     rows = own.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot")).where("members > 1")
-    members = materialize(rows.join(shared, "bucket").select("bucket", "id", "pivot"), "buckets")
-    texts = materialize(docs.where("id is not null").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    members = materialize(rows.join(shared, "bucket").select("bucket", "id", "pivot"), "buckets", BANDS * n_sets)
+    texts = materialize(docs.where("id is not null").join(own.join(members.select("id").distinct(), "id", "left_semi").select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]), "texts", n_sets, _TEXTS)
     links = _Links(own.select("id", "n", "sig"), texts, shingle_words, num, den)
-    pivots = materialize(links.estimated(members.where("pivot < id").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()), "pivots")
-    edges = materialize(links.confirmed(pivots), "links")
-    components = _between_components(edges, members, pivots, links)
+    n_members = members.count()
+    pivots = materialize(links.estimated(members.where("pivot < id").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()), "pivots", n_members)
+    n_pivots = pivots.count()
+    edges = materialize(links.confirmed(pivots), "links", n_pivots, _TEXTS)
+    components = _between_components(edges, members, pivots, links, n_members)
     of_first = firsts.join(components, firsts["id"] == components["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n", "d1", "d2").join(of_first, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -186,7 +189,7 @@ def _apart(members: DataFrame, pivots: DataFrame, edges: DataFrame, components:
     return placed.select("bucket", "id", "pivot", "c", place.alias("place"))
 
 
-def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame, links: _Links) -> DataFrame:
+def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame, links: _Links, n_members: int) -> DataFrame:
     """(node, component) by edges and by the links between members of a bucket that its pivot has left in different components.
 
     Two sets link if their symmetric difference is at most r times the sum of their sizes. Let D(x) be the
@@ -200,8 +203,9 @@ def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame,
     what the pivot links with; where they are few they meet the others of their bucket directly.
     """
     far = 1 - 2 * (1 - links.num / links.den)
-    components = connected_components(edges)
-    apart = materialize(_apart(members, pivots, edges, components, far), "apart")
+    n_edges = edges.count()
+    components = connected_components(edges, n_edges)
+    apart = materialize(_apart(members, pivots, edges, components, far), "apart", n_members)
     if apart.isEmpty():
         return components
     # where very many members are loose, they too are compared by differences; these are long, but few are shared
@@ -215,7 +219,7 @@ def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame,
     beside = a.where("src_place = 'far'").join(b, "bucket").where(once).select("src", "dst")
     # a member that is in a crowd with a pivot is "between" for it, whatever it is in smaller buckets; "linked" is so in all
     placed = apart.where("place <> 'far'").groupBy("pivot", "id").agg(F.first("c").alias("c"), F.max("place").alias("place"))
-    deltas = materialize(links.deltas(placed.where("pivot <> id")), "deltas")
+    deltas = materialize(links.deltas(placed.where("pivot <> id")), "deltas", apart.count(), _TEXTS)
     each = deltas.select("pivot", "id", "c", "place", "n", "n_pivot", F.size("d").alias("size"), F.explode("d").alias("e"))
     common = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("pivot", "e", "df")
     shared = each.join(common, ["pivot", "e"])
@@ -232,5 +236,7 @@ def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame,
     can = (F.col("src_c") != F.col("dst_c")) & (F.col("src_rank") + share <= F.col("src_size")) & (F.col("dst_rank") + share <= F.col("dst_size"))
     within = others.join(heads, ["pivot", "e"]).where(can).select("src", "dst")
     pairs = within.unionByName(beside).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    found = materialize(links.confirmed(links.estimated(pairs)), "links")
-    return components if found.isEmpty() else connected_components(edges.unionByName(found))
+    near = materialize(links.estimated(pairs).where("near"), "near-pairs")
+    found = materialize(links.confirmed(near), "links", near.count(), _TEXTS)
+    n_found = found.count()
+    return connected_components(edges.unionByName(found), n_edges + n_found) if n_found else components

@@ -31,7 +31,7 @@ class Model:
     def __init__(self, ids: np.ndarray, freqs: np.ndarray):
         self.ids, self.freqs = np.asarray(ids, dtype=np.uint32), np.asarray(freqs, dtype=np.uint32)
         self.starts = np.concatenate([[0], np.cumsum(self.freqs, dtype=np.uint64)[:-1]]).astype(np.uint64) if len(self.ids) else np.zeros(0, np.uint64)
-        self._slots = None
+        self._slots = self._places = None
 
     @classmethod
     def fit(cls, ids: np.ndarray, counts: np.ndarray) -> Model:
@@ -68,12 +68,19 @@ class Model:
             self._slots = np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.freqs)
         return self._slots
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where in the model each of ids is; -1 for those that it has not seen."""
+        if self._places is None:
+            self._places = np.full(int(self.ids.max(initial=0)) + 2, -1, np.int32)
+            self._places[self.ids] = np.arange(len(self.ids), dtype=np.int32)
+        return self._places[np.minimum(ids, len(self._places) - 1)]
+
 
 def _encode_stretch(ids: np.ndarray, model: Model) -> bytes:
     n = len(ids)
     lanes = max(1, min(MOST_LANES, n // 128))
-    at = np.searchsorted(model.ids, ids)
-    if n and (at.max(initial=0) >= len(model.ids) or not np.array_equal(model.ids[np.minimum(at, len(model.ids) - 1)], ids)):
+    at = model.places(ids)
+    if n and at.min() < 0:
         raise ValueError("an id that the model has not seen")
     freqs, starts = model.freqs[at].astype(np.uint64), model.starts[at]
     most = freqs << _U(63 - SCALE_BITS)

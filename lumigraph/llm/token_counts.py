@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigraph.llm.tokens import kept
+from lumigraph.llm.common import slices
+from lumigraph.llm.tokens import STRETCH, vocabulary
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,9 +25,8 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_co
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def count(batches):
-        of = kept(vocabulary_path, "counter")
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([of(t) for t in texts], pa.int64())], [id_col, "n_bytes", "n_tokens"])
+        of = vocabulary(vocabulary_path)
+        for own, (texts,) in slices(batches, STRETCH, 1):
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(of.ids(texts)[1], pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     return docs.mapInArrow(count, f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumigraph.llm.common import slices
+from lumigraph.llm.tokens import parts
+from lumigraph.llm.words import coded_words
+
 ORDER = 3  # letters of a subsequence
 DECAY = 0.85  # for each letter that a subsequence spans
 POWER = 5  # of the normalised kernel; powers of a kernel are kernels
@@ -20,10 +24,14 @@ WINDOW, STEP = 24, 12  # longer words count as their best window
 VARIANTS = 8  # misspelt forms of each word that are learnt from
 SPELLED = 4  # so many single letters in a row are read as a word as well
 MOST_LANDMARKS, MOST_CLEAN = 128, 64
-STRETCH = 1 << 20  # characters that are read at once
+STRETCH = 1 << 21  # bytes that are read at once, and
+OVERLAP = 256  # of them that the next stretch of a text reads again
+LONG_WORD = 1 << 14  # letters of a word that are compared at once
+LONGEST = 64  # letters of a word that is kept
 LEAST_GAIN = 20  # of a landmark's log-likelihood ratio: five toxic texts of ten in a hundred, and no clean one
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_GAP = re.compile(rb"[ \t-\r]")
 
 
 def _forms(word: str) -> set[str]:
@@ -164,10 +172,10 @@ class Model:
     """A machine over words: a sentence is as toxic as its worst word, a text as its worst sentence.
 
     weights and bias make a word's margin from its landmark features, slope and offset a score from a
-    text's margin. Margins of words that it has met are kept in a table of bounded size.
+    text's margin. Margins of words that it has met are kept, in a table of bounded size.
     """
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float = 1.0, offset: float = 0.0, most: int = 400_000):
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float = 1.0, offset: float = 0.0, most: int = 100_000):
         self.landmarks, self.weights, self.bias, self.slope, self.offset, self.most = landmarks, weights, bias, slope, offset, most
         self.__setstate__(self.__dict__)
 
@@ -178,50 +186,84 @@ class Model:
         self.__dict__.update(state)
         self.known, self.singles, self.of = {}, set(), None
 
-    def _learn(self, words: list[str]):
+    def _learnt(self, words: list[str]) -> np.ndarray:
+        """Margins of words. A very long one is read by overlapping parts, its margin is the worst of theirs."""
         if self.of is None:
             self.of = Landmarks(self.landmarks).of
-        for lo in range(0, len(words), 8192):
-            part = words[lo : lo + 8192]
-            self.known.update(zip(part, (self.of(part) @ self.weights + self.bias).tolist(), strict=True))
-            for w in part:
-                bare = w if len(w) < 2 or w.isalpha() else _EDGES.sub("", w)
-                if len(bare) == 1 and bare.isalpha():
-                    self.singles.add(w)
+        parts, owner = [], []
+        for i, w in enumerate(words):
+            for lo in range(0, max(1, len(w) - WINDOW), LONG_WORD):
+                parts.append(w[lo : lo + LONG_WORD + WINDOW])
+                owner.append(i)
+        found, out, lo = np.empty(len(parts)), np.full(len(words), -np.inf), 0
+        while lo < len(parts):
+            hi, size = lo, 0
+            while hi < len(parts) and hi - lo < 8192 and (hi == lo or size + len(parts[hi]) <= 8 * LONG_WORD):
+                size += len(parts[hi])
+                hi += 1
+            found[lo:hi] = self.of(parts[lo:hi]) @ self.weights + self.bias
+            lo = hi
+        np.maximum.at(out, owner, found)
+        return out
+
+    def _margins_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(margin, whether it is a single letter) of each of these distinct words."""
+        if len(self.known) > self.most:
+            self.known, self.singles = {}, set()
+        out = np.fromiter(map(self.known.get, words, repeat(np.nan)), np.float64, len(words))
+        lacking = np.flatnonzero(np.isnan(out)).tolist()
+        if lacking:
+            new = [words[i] for i in lacking]
+            out[lacking] = found = self._learnt(new)
+            for w, m in zip(new, found.tolist(), strict=True):
+                if len(w) <= LONGEST:
+                    self.known[w] = m
+                    bare = w if len(w) < 2 or w.isalpha() else _EDGES.sub("", w)
+                    if len(bare) == 1 and bare.isalpha():
+                        self.singles.add(w)
+        return out, np.fromiter(map(self.singles.__contains__, words), bool, len(words))
 
     def margins(self, texts: list[str]) -> list[float]:
         """For each text the worst of all its words, and of single letters in a row read as words.
 
-        Whole texts are read, by stretches; words are learnt for many stretches at once.
+        Whole texts are read, by stretches of whole words; each reads the last words before it again, so that
+        no row of single letters is broken.
         """
-        out, held, size = [self.bias] * len(texts), [], 0
+        out, rows, held, size = np.full(len(texts), self.bias, np.float64), [], [], 0
         for i, text in enumerate(texts):
-            for lo in range(0, len(text), STRETCH):  # a word that is cut here is read again with the next stretch
-                held.append((i, text[max(0, lo - 256) : lo + STRETCH].split()))
-                size += STRETCH if len(text) > STRETCH else len(text)
+            last = b""
+            for piece in parts(text.encode(), STRETCH):
+                rows.append(i)
+                held.append(last + piece)
+                size += len(held[-1])
+                last = piece[-OVERLAP:]
+                if len(last) < len(piece):
+                    gap = _GAP.search(last)
+                    last = last[gap.start() :] if gap else b""
                 if size >= STRETCH:
-                    self._read(held, out)
-                    held, size = [], 0
-        self._read(held, out)
-        return out
-
-    def _read(self, held: list[tuple[int, list[str]]], out: list[float]):
-        own = set().union(*[words for _, words in held])
-        new = own.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known, self.singles, new = {}, set(), own
-        if new:
-            self._learn(sorted(new))
-        for i, words in held:
-            out[i] = max(out[i], *map(self.known.__getitem__, words)) if words else out[i]
-            if sum(map(self.singles.__contains__, words)) >= SPELLED:
-                out[i] = max(out[i], *self._spelled(words))
-
-    def _spelled(self, words: list[str]) -> list[float]:
-        single = np.fromiter((w in self.singles for w in words), np.int8, len(words))
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
-        runs = ["".join(words[a:b]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= SPELLED]
-        return (self.of([_NOT_LETTERS.sub("", r) for r in runs]) @ self.weights + self.bias).tolist() if runs else [self.bias]
+                    self._read(rows, held, out)
+                    rows, held, size = [], [], 0
+        self._read(rows, held, out)
+        return out.tolist()
+
+    def _read(self, rows: list[int], held: list[bytes], out: np.ndarray):
+        codes, bounds, words = coded_words(held, ascii_space=False) if held else (np.zeros(0, np.int64), [0], [])
+        if not len(codes):
+            return
+        margins, singles = self._margins_of(words)
+        full = np.flatnonzero(np.diff(bounds))
+        np.maximum.at(out, np.array(rows)[full], np.maximum.reduceat(margins[codes], bounds[full]))
+        single = singles[codes]
+        if single.sum() < SPELLED:
+            return
+        edges = np.zeros(len(codes) + 1, bool)
+        edges[bounds] = True
+        starts = np.flatnonzero(single & (edges[:-1] | ~np.concatenate([[False], single[:-1]])))
+        stops = np.flatnonzero(single & (edges[1:] | ~np.concatenate([single[1:], [False]]))) + 1
+        long = stops - starts >= SPELLED
+        runs = [_NOT_LETTERS.sub("", "".join([words[c] for c in codes[a:b].tolist()])) for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
+        if runs:
+            np.maximum.at(out, np.array(rows)[np.searchsorted(bounds, starts[long], "right") - 1], self._learnt(runs))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.array(self.margins(texts), np.float64) + self.offset, -50, 50)))
@@ -369,9 +411,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         own = model.value
-        for batch in batches:
-            scores = np.zeros(batch.num_rows) if own is None else own.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
+        for part, (texts,) in slices(batches, STRETCH, 1):
+            scores = np.zeros(len(texts)) if own is None else own.scores(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
     out = docs.mapInArrow(run, f"`{id_col}` {id_type}, score double")
     return out.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -384,9 +426,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, min_score: float = 0.5, id_co
 
     def run(batches):
         own = model.value
-        for batch in batches:
-            if own is not None:
-                batch = batch.filter(pa.array(own.scores([t or "" for t in batch.column(at).to_pylist()]) < min_score))
-            yield batch
+        for part, (texts,) in slices(batches, STRETCH, at):
+            yield part if own is None else part.filter(pa.array(own.scores([t or "" for t in texts]) < min_score))
 
     return docs.mapInArrow(run, docs.schema)

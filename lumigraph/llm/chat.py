@@ -24,9 +24,10 @@ def turn_prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
     """(conv_id) of conversations that no longer one starts with; of equal ones the smallest conv_id."""
-    ends = prefixes.where("pos = n").select("conv_id", "pos", "p1", "p2")
+    # both sides have a row for each prefix when they meet, however many conversations share it
+    ends = prefixes.where("pos = n").groupBy("pos", "p1", "p2").agg(F.min("conv_id").alias("conv_id"))
     inner = prefixes.where("pos < n").select("pos", "p1", "p2").distinct()
-    return ends.join(inner, ["pos", "p1", "p2"], "left_anti").groupBy("pos", "p1", "p2").agg(F.min("conv_id").alias("conv_id")).select("conv_id")
+    return ends.join(inner, ["pos", "p1", "p2"], "left_anti").select("conv_id")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:

@@ -126,3 +126,20 @@ def test_components(spark):
 def test_hashes_of_kept_text(make_docs):
     text = "a\nb"
     assert hashlib.sha256(text.encode()).hexdigest() == dedup_lines(make_docs([(1, text)])).select(F.sha2(F.col("kept_text").cast("binary"), 256)).first()[0]
+
+
+def test_lines_of_repeated_ids_count_once(make_docs):
+    line = "a line that is shared by several rows"
+    assert sorted(map(tuple, dedup_lines(make_docs([(1, line), (2, line), (2, line + "\nx")])).collect())) == [(1, 1, 0, line), (2, 1, 0, line), (2, 2, 0, line + "\nx")]
+    got = sorted(map(tuple, dedup_lines(make_docs([(1, line), (2, line), (2, f"x\n{line}\n{line}\ny"), (3, line)])).collect()))
+    assert got == [(1, 1, 1, ""), (2, 1, 1, ""), (2, 4, 2, "x\ny"), (3, 1, 0, line)]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_very_many_common_lines(make_docs, monkeypatch, most):
+    """Linear in the lines, by both ways to meet the common ones."""
+    monkeypatch.setattr("lumigraph.llm.line_dedup.MOST_SENT", most)
+    lines = [f"common line number {k} of them" for k in range(100_000)]
+    rows = [(i, "\n".join([f"own {i}", *lines, "end"])) for i in range(3)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(make_docs(rows)).collect()}
+    assert got == {0: (100_002, 100_000, "own 0\nend"), 1: (100_002, 100_000, "own 1\nend"), 2: (100_002, 0, rows[2][1])}

@@ -73,7 +73,7 @@ def chunk_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     """For each text its chunks' digests, once each and in order; the low byte is the chunk's length less one."""
     text, end = chunk_ends(texts)
-    data, starts = b"".join(texts), np.concatenate([[0], end[:-1]])
+    data, starts = b"".join(texts), np.concatenate([[0], end]).astype(np.int64)[:-1]
     keys = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), end.tolist(), strict=True)], np.uint64)
     keys = (keys >> np.uint64(64 - 8 * DIGEST) << np.uint64(8)) | (end - starts - 1).astype(np.uint64)
     cuts = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -147,13 +147,13 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text has the last quarter (rounded down) of its code points replaced by the first as many,
     or all, of the next document in ascending order of id (after the last: the first; alone: itself). A null
-    text is the empty one. Rows of one id go by their texts. Rows without an integer id are left out, as
-    they have no place in the order. Other columns are ignored; the empty table gives no rows.
+    text is the empty one. Rows of one id go by their texts. Rows without an integer id (null, or a string
+    that is none) are left out, as they have no place in the order. Other columns are ignored; the empty table gives no rows.
 
     Texts are shuffled once, to ranges of ids, and then streamed in order; a task holds one stretch of
     texts and the row that follows it.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("id is not null")
+    docs = docs.select(F.col(id_col).try_cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("id is not null")
     schema = "id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(ids: list, texts: list[str], following: tuple):

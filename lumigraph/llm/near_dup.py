@@ -175,6 +175,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that near_duplicates() keeps: one of each group stays.
+
+    Rows that repeat both an id and a text stay once; those of one id with different texts stay, as do rows
+    without id, which link with nothing."""
+    found = near_duplicates(docs, shingle_words, similarity, id_col, text_col)
+    # the ids that go are written first: a short list then needs no shuffle of the texts
+    gone = materialize(found.where("not kept").select(F.col(id_col).alias("gone")).distinct(), "gone")
+    kept = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    again = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("again")), "again", docs.count())
+    if again.isEmpty():
+        return kept
+    return kept.join(again, kept[id_col] == again["again"], "left_anti").unionByName(kept.join(again, kept[id_col] == again["again"], "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def _apart(members: DataFrame, pivots: DataFrame, edges: DataFrame, components: DataFrame, far: float) -> DataFrame:
     """(bucket, id, pivot, c, place) of buckets whose members are in several components.
 

@@ -17,9 +17,10 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_co
     gives without begin, end or added special tokens, truncation or padding. A null text counts as the
     empty one. Repeated rows give repeated rows; other columns are ignored; the empty table gives no rows.
 
-    No shuffle: each worker counts the pieces of a distinct chunk once, in a bounded table, and joins its
-    texts' chunk frequencies to it. A corpus-wide join would shuffle a row for each document and distinct
-    chunk, several times the text itself.
+    Pieces are counted once for each distinct pre-token that a worker knows, in a bounded table; the counts
+    meet the pre-tokens of each document and are summed, and no ids are made. A table for the whole corpus
+    would take a shuffle of a row for each document and distinct pre-token, several times the text itself.
+    Vocabularies whose pre-tokens white space doesn't part encode each text whole.
     """
     docs = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -27,6 +28,6 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_co
     def count(batches):
         of = vocabulary(vocabulary_path)
         for own, (texts,) in slices(batches, STRETCH, 1):
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(of.ids(texts)[1], pa.int64())], [id_col, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(of.counts(texts), pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     return docs.mapInArrow(count, f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

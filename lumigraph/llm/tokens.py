@@ -141,7 +141,7 @@ class _Known:
 
     def _shrink(self):
         names, sizes = list(self.code), self.sizes[self.last]
-        kept = gather(self.flat, self.sizes, self.last, self.starts)
+        kept = gather(self.flat, self.sizes, self.last, self.starts) if self.used else self.flat[:0]
         self.code, self.used = {names[k]: i for i, k in enumerate(self.last.tolist())}, len(kept)
         self.flat, self.sizes, self.starts = np.concatenate([kept, np.zeros(1 << 16, self.kind)]), sizes, np.cumsum(sizes) - sizes
         self.letters = sum(map(len, self.code))
@@ -197,10 +197,10 @@ class Vocabulary:
             self.pieces_of, self.letters = tokenizer.model.tokenize, byte_letters()
             self.ends = np.zeros(self.size, bool)  # ids that a pre-token ends with, and no other
             self.ends[[i for s, i in tokenizer.get_vocab(with_added_tokens=False).items() if s.endswith(tokenizer.model.end_of_word_suffix)]] = True
-            self.known = _Known(self._encoded, self.kind)
+            self.known, self.sized = _Known(self._encoded, self.kind), _Known(self._sizes, self.kind)
 
-    def _encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(sizes, ids) of pre-tokens, and of chunks that pre_tokens() has left whole."""
+    def _spelled(self, names: list[str]) -> tuple[list[str], dict[int, list[int]]]:
+        """(pre-tokens in the letters of the vocabulary, ids of chunks that pre_tokens() has left whole)."""
         whole, spelled = {}, list(names)
         for i, s in enumerate(names):
             if not (s.isascii() and s.isprintable()) or "<|" in s:
@@ -208,6 +208,18 @@ class Vocabulary:
                     whole[i], spelled[i] = self.encode(s), "x"
                 else:
                     spelled[i] = "".join([self.letters[b] for b in s.encode()])
+        return spelled, whole
+
+    def _sizes(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spelled, whole = self._spelled(names)
+        sizes = np.fromiter(map(len, map(self.pieces_of, spelled)), np.int64, len(spelled))
+        for i, x in whole.items():
+            sizes[i] = len(x)
+        return sizes, np.zeros(0, self.kind)
+
+    def _encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of pre-tokens."""
+        spelled, whole = self._spelled(names)
         pieces_of = self.pieces_of
         ids = np.array([x.id for s in spelled for x in pieces_of(s)], self.kind)
         sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
@@ -218,6 +230,22 @@ class Vocabulary:
             sizes[i], cuts[i] = len(x), np.array(x, self.kind)
         return sizes, np.concatenate(cuts)
 
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """The number of each text's ids; where white space separates, no ids are made.
+
+        Distinct pre-tokens are counted once as long as they are known; their counts meet the places where
+        each text has them, and are summed.
+        """
+        if not self.separates:
+            return self.ids(texts)[1]
+        out = np.zeros(len(texts), np.int64)
+        for rows, pieces in stretches(texts):
+            codes, bounds, distinct = pre_tokens(pieces)
+            known = self.sized.codes(distinct)
+            n = self.sized.sizes[known]
+            np.add.at(out, rows, np.diff(np.concatenate([[0], np.cumsum(n[codes])])[bounds]))
+        return out
+
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, the number of each text's)."""
         flat, sizes = [np.zeros(0, self.kind)], np.zeros(len(texts), np.int64)
@@ -239,7 +267,7 @@ class Vocabulary:
 
     def counter(self):
         """A function from a text's bytes to its number of tokens."""
-        return lambda data: int(self.ids([data])[1][0])
+        return lambda data: int(self.counts([data])[0])
 
 
 def _drops_space(config: dict) -> bool:

@@ -2,11 +2,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lumigraph.llm import fingerprints as fingerprint_module
 from lumigraph.llm import near_dup
-from lumigraph.llm.decontamination import align, find_contamination
+from lumigraph.llm.decontamination import align, drop_contaminated, find_contamination
 from lumigraph.llm.fingerprints import compare_edits, fingerprint_documents, fingerprints, likeness, pack, unpack
-from lumigraph.llm.near_dup import near_duplicates
+from lumigraph.llm.near_dup import drop_near_duplicates, near_duplicates
 
 
 def brute(rows, size, num=80, den=100):
@@ -190,3 +192,113 @@ def test_contamination_by_each_text_of_an_item(spark, make_docs):
     rows = [(1, "x " + " ".join(one)), (2, " ".join(two)), (3, " ".join(one[:15] + two)), (4, "x y z")]
     got = find_contamination(make_docs(rows), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.score, r.end_word) for r in got) == [(1, 7, 1.0, 21), (2, 7, 1.0, 20), (3, 7, 1.0, 35)]
+
+
+def test_contaminated_rows_go_by_their_own_text(spark, make_docs):
+    item = [f"b{k}" for k in range(20)]
+    bench = spark.createDataFrame([("first", " ".join(item)), ("second", "x y")], "item_id string, text string")
+    rows = [(None, " ".join(item)), (1, "clean words of one " + " ".join(item)), (1, "clean words"), (2, None), (3, ""), (4, "clean"), (4, "clean")]
+    docs = make_docs(rows)
+    out = drop_contaminated(docs, bench)
+    assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "clean words"), (2, None), (3, ""), (4, "clean"), (4, "clean")], key=repr)
+    assert drop_contaminated(docs, bench.where("false")).count() == len(rows) and drop_contaminated(make_docs([]), bench).count() == 0
+    got = find_contamination(docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))), bench).collect()
+    assert sorted((r.doc_id or "", r.item_id, r.score) for r in got) == [("", "first", 1.0), ("d1", "first", 1.0)]
+
+
+def test_blocks_of_the_benchmark(spark, make_docs, monkeypatch):
+    """Several blocks find what one finds."""
+    rng = random.Random(9)
+    items = [[f"i{k}w{rng.randint(0, 40)}" for _ in range(15)] for k in range(12)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    docs = make_docs([(d, " ".join(["z"] * 5 + items[d % 12][: 8 + d % 8] + ["y"] * 5)) for d in range(60)])
+    one = sorted(map(tuple, find_contamination(docs, bench).collect()))
+    left = sorted(r.doc_id for r in drop_contaminated(docs, bench).collect())
+    monkeypatch.setattr("lumigraph.llm.decontamination.MOST_BLOCK_BYTES", 200)
+    assert sorted(map(tuple, find_contamination(docs, bench).collect())) == one and len(one) >= 50
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == left == sorted({r[0] for r in [(d,) for d in range(60)]} - {r[0] for r in one})
+
+
+def test_one_row_of_each_group_stays(make_docs):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text), (1, text), (2, text), (3, text + " more"), (4, "other words"), (4, "different words here"), (None, text), (5, None), (5, None)]
+    out = drop_near_duplicates(make_docs(rows))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, text), (4, "other words"), (4, "different words here"), (None, text), (5, None)], key=repr)
+    assert drop_near_duplicates(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize(("name", "value"), [("CROWD", 0), ("CROWD", 1 << 30), ("SLACK", 2.0)])
+def test_near_duplicates_are_the_same_by_every_way(make_docs, monkeypatch, name, value):
+    """Whether members meet directly or by differences, and whether signatures pass over pairs, the links are those of brute force."""
+    monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(11)
+    rows = []
+    for g, n in enumerate((60, 40, 5)):
+        made = [[f"w{rng.randint(0, 300)}" for _ in range(90)]]
+        for _ in range(n):
+            made.append(edited(rng, rng.choice(made) if g else made[0], rng.randint(0, 9)))
+        rows += [(500 * g + k, " ".join(w)) for k, w in enumerate(made)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make_docs(rows), 2).collect()}
+    assert got == brute(rows, 2)
+
+
+def test_packed_estimate_is_near_similarity(spark):
+    rng, rows = np.random.RandomState(1), []
+    for share in (0.0, 0.3, 0.6, 0.8, 0.95, 1.0):
+        words = [f"w{k}" for k in rng.permutation(100_000)[:3000]]
+        other = words[: int(len(words) * share)] + [f"v{k}" for k in range(int(len(words) * (1 - share)))]
+        sets = [{tuple(x[i : i + 2]) for i in range(len(x) - 1)} for x in (words, other)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other)), len(sets[0] & sets[1]) / len(sets[0] | sets[1])]
+    same, texts = rows[2::3], [(k, rows[i][1]) for k, i in enumerate(i for i in range(len(rows)) if i % 3 < 2)]
+    docs = spark.createDataFrame(texts, "id bigint, x string").select("id", F.col("x").cast("binary").alias("t"), F.xxhash64("x").alias("h"))
+    sigs = near_dup.signatures(docs, 2)
+    a, b = sigs.select((F.col("id") / 2).alias("g"), F.col("sig").alias("a")).where("id % 2 = 0"), sigs.select(((F.col("id") - 1) / 2).alias("g"), F.col("sig").alias("b")).where("id % 2 = 1")
+    got = [r.e for r in a.join(b, "g").orderBy("g").select(near_dup.estimate(F.col("a"), F.col("b")).alias("e")).collect()]
+    assert got == pytest.approx(same, abs=0.13)
+
+
+def plain_fingerprint(data: bytes) -> set[tuple[int, bytes]]:
+    """Chunks one after the other, by the definition: (length, chunk)."""
+    out, at = set(), 0
+    while at < len(data):
+        end = min(len(data), at + fingerprint_module.MOST)
+        for k in range(at + fingerprint_module.LEAST, end):
+            h = 0
+            for j in range(min(fingerprint_module.WINDOW, k)):  # of the text alone
+                h = (h + (int(fingerprint_module._GEAR[data[k - 1 - j]]) << j)) & 0xFFFFFFFF
+            bits = fingerprint_module.HARD if k - at < fingerprint_module.NORMAL else fingerprint_module.EASY
+            if (h >> 16) & ((1 << bits) - 1) == 0:
+                end = k
+                break
+        out.add((end - at, data[at:end]))
+        at = end
+    return out
+
+
+def test_fingerprints_against_a_plain_chunker(make_docs, odd_rows):
+    rng = random.Random(12)
+    rows = [r for r in odd_rows if len(r[1] or "") < 10_000][:6] + [(50 + i, "".join(rng.choice("abc dé\n") for _ in range(rng.choice([0, 1, 7, 8, 15, 16, 31, 32, 127, 128, 129, 700])))) for i in range(40)]
+    texts = [(t or "").encode() for _, t in rows]
+    joined = fingerprints(texts)
+    for text, own in zip(texts, joined, strict=True):
+        plain = plain_fingerprint(text)
+        assert len(own) == len(plain) and int((own & np.uint64(0xFF)).sum()) + len(own) == sum(n for n, _ in plain)
+        assert np.array_equal(own, fingerprints([text])[0])
+    order = sorted((i, t or "") for i, t in rows)
+    near = {}
+    for k, (i, t) in enumerate(order):
+        n, nxt = len(t) // 4, order[(k + 1) % len(order)][1]
+        sets = [plain_fingerprint(x.encode()) for x in (t, t[: len(t) - n] + nxt[:n], nxt)]
+        weight = lambda s: sum(n for n, _ in s)
+        like = lambda a, b: weight(a & b) / min(weight(a), weight(b)) if min(weight(a), weight(b)) else float(len(a) == len(b))
+        near.setdefault(i, []).append((round(like(sets[0], sets[1]), 9), round(like(sets[0], sets[2]), 9)))
+    got = {}
+    for r in compare_edits(make_docs(rows)).collect():
+        got.setdefault(r.doc_id, []).append((round(r.near_edited, 9), round(r.near_next, 9)))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in near.items()}
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("a", "some words"), ("7", "other words"), (None, "x")], "doc_id string, text string")
+    assert [r.doc_id for r in compare_edits(docs).collect()] == [7]
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 2).collect()} == {"a": "a", "7": "7", None: None}

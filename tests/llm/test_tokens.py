@@ -11,14 +11,17 @@ from lumigraph.llm import rans
 from lumigraph.llm.common import new_path
 from lumigraph.llm.token_counts import count_tokens
 from lumigraph.llm.token_output import read_tokens, write_tokens
-from lumigraph.llm.tokens import parts, vocabulary
+from lumigraph.llm.tokens import Vocabulary, parts, vocabulary
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TRICKY = ["", "a", "Don't it's we'll", "x<|endoftext|>y", "<|startoftext|>", "İstanbul ŞŠß ﬁ", "é ́x", "a b c", "\x1c\x1d a\x85b", "１２３ ²³ x2y", "日本語 テスト", "'S 'LL ''d", "Σας ΟΔΟΣ", "\U0001f600\U0001f600 ok", "½ƒ ªº", "A" * 3000, "tab\tnew\nline\r\n\x0b\x0c", "K Å ſ", "ĳ ŉ ǅ"]
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def expected(text):
-    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_every_tricky_text_as_the_library():
@@ -89,3 +92,17 @@ def test_files(spark, make_docs, odd_rows, block_ids):
     empty = new_path(spark, "tokens")
     write_tokens(make_docs([]), empty, PATH)
     assert read_tokens(spark, empty).count() == 0
+
+
+def test_pre_tokens_as_the_library_and_a_small_table(monkeypatch):
+    """Apostrophes, digits, marks and odd letters in every order; with a table that is always full."""
+    monkeypatch.setattr("lumigraph.llm.tokens.MOST_KNOWN", 20)
+    vocab, rng = Vocabulary(PATH), random.Random(6)
+    bits = ["'", "''", "'s", "'S", "'re", "'ll", "'l", "'ve", "'v", "'m", "'d", "'t", "s", "re", "LL", "x", "É", "ß", "ÿ", "Ÿ", "İ", "ı", "ŀ", "Ŀ", "×", "÷", "7", "42", "<", "|", "<|", "-", "!", "¿", "ж", "日", "\U0001f600", "\x01", "\x7f", "\xa0", "́", " ", " ", "\n", "\t"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    want = [expected(t) for t in texts]
+    flat, sizes = vocab.ids([t.encode() for t in texts])
+    assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert vocab.counts([t.encode() for t in texts]).tolist() == sizes.tolist()
+    one = [vocab.ids([t.encode()])[0].tolist() for t in texts]
+    assert one == want

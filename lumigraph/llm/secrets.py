@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import string
@@ -31,6 +32,8 @@ PLAIN_WORDS = ("example", "sample", "test", "dummy", "changeme", "change", "plac
 BESIDE_NO = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "uuid", "guid", "version", "revision", "etag", "integrity", "id", "example")
 PATH_NO = ("test", "example", "sample", "fixture", "mock", "doc", "lock")
 
+# The lines that private keys stand between.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s:,.-]*?)\s*(?:-----END \1-----|(?=-----)|\Z|(?![A-Za-z0-9+/=\s:,.-]))")
 _SERVICE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SERVICE_KEYS.items()))
 _SERVICE_START = re.compile("AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|[rs]k_(?:live|test)_|eyJ")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
@@ -38,13 +41,18 @@ _NAME = re.compile(r"([A-Za-z_][\w.-]*)[\"']?\s{0,4}$")
 _VALUE = re.compile(r"\s{0,4}[\"']?([^\s\"'<>,;]{6,})")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _AROUND = 64
+LEAST_WORD, MOST_WORD = 4, 14
 # So many characters into an assigned value, a service key or another assignment is a place of its own and ends the value.
 _OWN_PLACE = 512
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what may be a secret, in order; of overlapping ones the first kind in the order service key, assigned value, long string."""
+    """(start, end, kind) of what may be a secret, in order; of overlapping ones the first kind in the order private key, service key, assigned value, long string.
+
+    A private key reaches from its opening line to its closing one, or where that is missing to the end of what can be part of it."""
     found, assigned, places = [], [], []
+    if "PRIVATE KEY-----" in text:
+        found += [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)]
     for m in _SERVICE_START.finditer(text):
         if k := _SERVICE.match(text, m.start()):
             if not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
@@ -72,7 +80,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             found.append((m.start(), m.end(), "long_string"))
     out: list[tuple[int, int, str]] = []  # in order and apart, so only the neighbours of a place can overlap it
-    rank = {"assigned": 1, "long_string": 2}
+    rank = {"private_key": -1, "assigned": 1, "long_string": 2}
     for f in sorted(found, key=lambda x: (rank.get(x[2], 0), x)):
         i = bisect_left(out, f)
         if (not i or out[i - 1][1] <= f[0]) and (i == len(out) or f[1] <= out[i][0]):
@@ -80,6 +88,30 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+@cache
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """Words of LEAST_WORD to MOST_WORD letters: the whole words of a public vocabulary file (by default word_bpe_49k.json)."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model.get("end_of_word_suffix") or ""
+    words = (w.removesuffix(suffix).lower() for w in model["vocab"] if w.endswith(suffix))
+    return frozenset(w for w in words if LEAST_WORD <= len(w) <= MOST_WORD and w.isalpha() and w.isascii())
+
+
+def word_share(low: str) -> float:
+    """The share of a lower-case string that words of the dictionary cover, the longest first from each place on."""
+    words, at, covered = dictionary(), 0, 0
+    while at < len(low):
+        n = next((n for n in range(min(MOST_WORD, len(low) - at), LEAST_WORD - 1, -1) if low[at : at + n] in words), 0)
+        covered += n
+        at += n or 1
+    return covered / max(1, len(low))
+
+
 def _kind(c: str) -> int:
     """Lower case, upper case, digit, other."""
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
@@ -106,9 +138,9 @@ def features(value: str, before: str, after: str, path: str) -> np.ndarray:
     left, right = (x.lower() for x in (before, after))
     near = set(re.findall(r"[a-z0-9_]+", left[-32:])) | set(_WORD.findall(right[:24]))
     return np.array([
-        n, *shares, *(steps / max(1, n - 1)).ravel(), -(p * np.log2(p)).sum(), len(set(low)) / n, covered.mean(), max(runs, default=0) / n, vowels,
+        n, *shares, *(steps / max(1, n - 1)).ravel(), -(p * np.log2(p)).sum(), len(set(low)) / n, covered.mean(), word_share(low), max(runs, default=0) / n, vowels,
         all(c in string.hexdigits for c in value), value.count("/") + value.count("."), value.count("-"), any(c in value for c in "()[]{}$%<>*"),
-        bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)), any(x in left[-40:] for x in SECRET_NAMES), bool(_SERVICE.fullmatch(value)),
+        bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)), any(x in left[-40:] for x in SECRET_NAMES), bool(_SERVICE.fullmatch(value)), bool(_PEM.fullmatch(value)),
         any(w in near for w in BESIDE_NO), left.rstrip(" \"'").endswith(("=", ":")), any(x in path.lower() for x in PATH_NO),
     ], np.float64)
 
@@ -183,15 +215,19 @@ def labelled_findings(n: int = 4000, seed: int = 0) -> list[tuple[str, str, str,
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     prose = lambda: " ".join(word() for _ in range(rng.randint(2, 6)))
     case = lambda s: s.upper() if rng.random() < 0.15 else s
-    out = []
+    common, out = sorted(dictionary()), []
     for _ in range(n):
         label = rng.random() < 0.5
         name = rng.choice(SECRET_NAMES)
         equals = rng.choice(["=", " = ", ": ", "='", ' = "', '="'])
         before, after, path = f"{prose()} {case(name)}{equals}", f"\" {prose()}", rng.choice(["", "src7", "src/app.py", "deploy.env", "web/config.yml"])
         if label:
-            what = rng.randrange(6)
-            if what == 0:
+            what = rng.randrange(7)
+            if what == 6:
+                kind = rng.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY"
+                lines = [pick(b64, 64) for _ in range(rng.randint(2, 25))] + [pick(b64, rng.randint(8, 60)) + "="]
+                value, before = f"-----BEGIN {kind}-----\n" + "\n".join(lines) + f"\n-----END {kind}-----", rng.choice(["", f"{prose()}\n", before])
+            elif what == 0:
                 value, before = rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + string.digits, 16), f"{prose()} "
             elif what == 1:
                 value, before = rng.choice(["ghp_" + pick(alnum, 36), "AIza" + pick(alnum, 35), "sk_live_" + pick(alnum, 24), "xoxb-" + pick(alnum, 24)]), rng.choice([before, f"{prose()} "])
@@ -204,7 +240,7 @@ def labelled_findings(n: int = 4000, seed: int = 0) -> list[tuple[str, str, str,
             else:
                 value = pick(alnum + "!@#^&", rng.randint(8, 16))
         else:
-            what = rng.randrange(8)
+            what = rng.randrange(10)
             beside = f"{prose()} {rng.choice(BESIDE_NO)}{rng.choice([' ', ': ', '='])}"
             if what == 0:
                 value, before = pick(hexes, rng.choice([32, 40, 64])), beside
@@ -218,6 +254,10 @@ def labelled_findings(n: int = 4000, seed: int = 0) -> list[tuple[str, str, str,
                 value, before = "/".join(word() for _ in range(rng.randint(3, 6))) + f"/{word()}{rng.randint(1, 99)}", f"{prose()} "
             elif what == 5:
                 value, before = "_".join(word() for _ in range(rng.randint(3, 6))) + f"_v{rng.randint(1, 20)}", f"{prose()} "
+            elif what == 8:
+                value = rng.choice(["_", "-", "", "."]).join(rng.sample(common, rng.randint(2, 4))) + rng.choice(["", "1", "_2", "123"])
+            elif what == 9:
+                value, before = rng.choice(["_", "/", "-"]).join(rng.sample(common, rng.randint(3, 7))) + rng.choice(["", "2", "_v3"]), f"{prose()} "
             elif what == 6:
                 value, before = "".join(word().title() for _ in range(rng.randint(4, 8))) + str(rng.randint(1, 2030)), f"{prose()} "
             else:

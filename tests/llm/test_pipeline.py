@@ -44,3 +44,26 @@ def test_pipeline_against_plain_stages(spark, make_docs, tmp_path):
     got = sorted(map(tuple, seen[-1].select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
     assert got == sorted(expect)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == got
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, make_docs, tmp_path):
+    """Null ids and texts, repeated ids and rows, clashing columns; then no rows at all."""
+    item, text = " ".join(f"bench{k}" for k in range(20)), " ".join(f"word{k}" for k in range(40))
+    rows = [(None, item), (None, text), (1, text), (1, text), (2, text), (3, f"some {item} here"), (3, "a clean text of the same id"), (4, None), (4, None), (5, ""), (6, "one two three four five six")]
+    for case, found in (("odd", rows), ("empty", [])):
+        folder = f"{tmp_path}/{case}"
+        for name, table in (("documents", make_docs(found)), ("labels", spark.createDataFrame([], "doc_id bigint, toxic int")), ("benchmark", spark.createDataFrame([(1, item)] if found else [], "item_id bigint, text string"))):
+            table.write.parquet(f"{folder}/{name}.parquet")
+        docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            out.write.parquet(f"{folder}/out-{name}")
+            docs = spark.read.parquet(f"{folder}/out-{name}")
+            seen.append(sorted([(r.doc_id, r.text) for r in docs.collect()] if name != "token_output" else [r.doc_id for r in docs.collect()], key=repr))
+        if not found:
+            assert seen == [[]] * 5
+            continue
+        near = [(None, item), (None, text), (1, text), (3, f"some {item} here"), (3, "a clean text of the same id"), (4, None), (5, ""), (6, "one two three four five six")]
+        assert seen[0] == sorted(rows, key=repr) and seen[1] == sorted(near, key=repr)
+        assert seen[2] == sorted([r for r in near if item not in (r[1] or "")], key=repr)
+        assert set(seen[3]) <= set(seen[2]) and seen[4] == sorted([i for i, _ in seen[3]], key=repr)

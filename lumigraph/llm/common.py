@@ -93,8 +93,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20_000) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and lost executors cost nothing.
 
-    Where it is known that df has no more than so many rows, it is written in files of per_file rows on
-    average at least, so a small table isn't dealt over as many tasks and files as a large one."""
+    Where it is known that df has and is made of no more than so many rows, they are dealt to tasks of per_file
+    rows on average at least, so a small table isn't dealt over as many tasks and files as a large one."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     (df if rows is None else df.coalesce(-(-rows // per_file) or 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

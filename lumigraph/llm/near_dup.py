@@ -23,7 +23,7 @@ SLACK = 0.18
 CROWD = 32
 # Bytes of texts whose sets a task holds at once.
 SLICE = 2 << 20
-_TEXTS = 5_000  # rows with texts that a task writes on average at least, where there are so many
+_TEXTS = 5_000  # texts that a task reads on average at least, where there are so many
 _A = (np.random.RandomState(1).randint(0, 1 << 31, MINIMA).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.RandomState(2).randint(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 
@@ -165,10 +165,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     texts = materialize(docs.where("id is not null").join(own.join(members.select("id").distinct(), "id", "left_semi").select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]), "texts", n_sets, _TEXTS)
     links = _Links(own.select("id", "n", "sig"), texts, shingle_words, num, den)
     n_members = members.count()
-    pivots = materialize(links.estimated(members.where("pivot < id").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()), "pivots", n_members)
-    n_pivots = pivots.count()
-    edges = materialize(links.confirmed(pivots), "links", n_pivots, _TEXTS)
-    components = _between_components(edges, members, pivots, links, n_members)
+    pivots = materialize(links.estimated(members.where("pivot < id").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()), "pivots", max(n_members, n_sets))
+    edges = materialize(links.confirmed(pivots), "links", n_sets, _TEXTS)
+    components = _between_components(edges, members, pivots, links, n_members, n_sets)
     of_first = firsts.join(components, firsts["id"] == components["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n", "d1", "d2").join(of_first, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -204,7 +203,7 @@ def _apart(members: DataFrame, pivots: DataFrame, edges: DataFrame, components:
     return placed.select("bucket", "id", "pivot", "c", place.alias("place"))
 
 
-def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame, links: _Links, n_members: int) -> DataFrame:
+def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame, links: _Links, n_members: int, n_sets: int) -> DataFrame:
     """(node, component) by edges and by the links between members of a bucket that its pivot has left in different components.
 
     Two sets link if their symmetric difference is at most r times the sum of their sizes. Let D(x) be the
@@ -234,7 +233,7 @@ def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame,
     beside = a.where("src_place = 'far'").join(b, "bucket").where(once).select("src", "dst")
     # a member that is in a crowd with a pivot is "between" for it, whatever it is in smaller buckets; "linked" is so in all
     placed = apart.where("place <> 'far'").groupBy("pivot", "id").agg(F.first("c").alias("c"), F.max("place").alias("place"))
-    deltas = materialize(links.deltas(placed.where("pivot <> id")), "deltas", apart.count(), _TEXTS)
+    deltas = materialize(links.deltas(placed.where("pivot <> id")), "deltas", n_sets, _TEXTS)
     each = deltas.select("pivot", "id", "c", "place", "n", "n_pivot", F.size("d").alias("size"), F.explode("d").alias("e"))
     common = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("pivot", "e", "df")
     shared = each.join(common, ["pivot", "e"])
@@ -251,7 +250,7 @@ def _between_components(edges: DataFrame, members: DataFrame, pivots: DataFrame,
     can = (F.col("src_c") != F.col("dst_c")) & (F.col("src_rank") + share <= F.col("src_size")) & (F.col("dst_rank") + share <= F.col("dst_size"))
     within = others.join(heads, ["pivot", "e"]).where(can).select("src", "dst")
     pairs = within.unionByName(beside).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    near = materialize(links.estimated(pairs).where("near"), "near-pairs")
-    found = materialize(links.confirmed(near), "links", near.count(), _TEXTS)
+    near = materialize(links.estimated(pairs).where("near"), "near-pairs", n_sets)
+    found = materialize(links.confirmed(near), "links", n_sets, _TEXTS)
     n_found = found.count()
     return connected_components(edges.unionByName(found), n_edges + n_found) if n_found else components

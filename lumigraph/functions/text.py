@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 K_GRAM, WINNOW_WINDOW = 5, 4
+_TOKEN = re.compile(rb"[a-z0-9_]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,26 +97,39 @@ def hash64(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 16), 16, -10).cast("bigint")
 
 
+def winnow(text: str, k: int = K_GRAM, window: int = WINNOW_WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of a text's fingerprints, see winnowed()."""
+    tokens = _TOKEN.findall(text.encode().lower())
+    n = len(tokens) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sha = hashlib.sha256
+    grams = np.frombuffer(b"".join([sha(b" ".join(tokens[i : i + k])).digest()[:8] for i in range(n)]), ">i8").astype(np.int64)
+    if n <= window:
+        return grams, np.arange(n)
+    # the least of later windows is never further left, so equal ones stand beside one another
+    least = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1) + np.arange(n - window + 1)
+    places = least[np.diff(least, prepend=-1) != 0]
+    return grams[places], places
+
+
 def winnowed(content: Column, k: int = K_GRAM, window: int = WINNOW_WINDOW) -> Column:
     """array<struct<fp_hash, span_start, span_end>>: of every window of k-gram hashes the least, leftmost if equal, once.
 
-    Fewer tokens than k give none; as few k-grams as a window or fewer give all of them. Everything happens
-    within the row, so a file's fingerprints need no shuffle.
+    Fewer tokens than k give none; as few k-grams as a window or fewer give all of them; null stays null.
+    A file's fingerprints come from its row alone, in Arrow batches, and need no shuffle.
     """
 
-    def picked(tokens: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: F.struct(hash64(F.array_join(F.slice(tokens, i + 1, k), " ")).alias("h"), i.alias("i")))
-        return let(grams, least)
-
-    def least(grams: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(grams) - window + 1), lambda i: F.array_min(F.slice(grams, i, window)))
-        # the least of later windows is never further left, so equal ones stand beside one another
-        once = let(windows, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["i"] != x["i"])))
-        return F.when(F.size(grams) <= window, grams).otherwise(once)
+    def run(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else winnow(t, k, window) for t in texts.to_pylist()]
+        sizes = np.array([0 if f is None else len(f[0]) for f in found], np.int64)
+        hashes, places = (np.concatenate([np.zeros(0, np.int64), *[f[j] for f in found if f is not None]]) for j in (0, 1))
+        spans = pa.StructArray.from_arrays([pa.array(hashes), pa.array(places), pa.array(places + k)], ["fp_hash", "span_start", "span_end"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), spans, mask=pa.array([f is None for f in found]))
 
-    spans = lambda xs: F.transform(xs, lambda x: F.struct(x["h"].alias("fp_hash"), x["i"].cast("bigint").alias("span_start"), (x["i"] + k).cast("bigint").alias("span_end")))
-    none = F.array().cast("array<struct<fp_hash:bigint,span_start:bigint,span_end:bigint>>")
-    return let(code_tokens(content), lambda t: F.when(F.size(t) < k, none).otherwise(spans(picked(t))))
+    # annotated by value, as annotations here are text that the function's module can't resolve in a worker
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<fp_hash:bigint,span_start:bigint,span_end:bigint>>")(content)
 
 
 def subsequence_ratio(query: str, text: Column) -> Column:

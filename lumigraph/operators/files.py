@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumigraph.functions.text import file_glob, lines_of
+from lumigraph.functions.text import file_glob, let, lines_of
 from lumigraph.schema import Graph
 from lumigraph.sources.repo import IGNORED_DIRS
 
@@ -108,20 +108,20 @@ def multi_outline(files: DataFrame, entities: DataFrame, paths: list[str], max_d
 def search_files(files: DataFrame, pattern: str, is_regex: bool = False, glob: str | None = None, context_lines: int = SEARCH_CONTEXT, max_results: int = SEARCH_RESULTS) -> DataFrame:
     """(file, line, content, context_before, context_after) of matching lines, by file and line, max_results (1 at least) of them.
 
-    Lines and their context stay within the row of their file. Files without a match are dropped before
-    their lines are told apart.
+    A hit takes its context with it from the row of its file, not the file. Files without a match are
+    dropped before their lines are told apart.
     """
     test = (lambda c: c.rlike(pattern)) if is_regex else (lambda c: F.contains(c, F.lit(pattern)))
     if glob is not None:
         files = files.where(file_glob(F.col("path"), glob))
     if not is_regex:
         files = files.where(test(F.col("content")))
-    rows = files.select(F.col("path").alias("file"), lines_of(F.col("content")).alias("lines"))
-    hits = rows.select("file", "lines", F.explode(F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"))), lambda x: test(x["content"]))).alias("hit"))
-    hits = hits.orderBy("file", "hit.line").limit(max(1, max_results))
-    before = F.slice("lines", F.greatest(F.col("hit.line") - context_lines, F.lit(1)), F.least(F.col("hit.line") - 1, F.lit(context_lines)))
-    after = F.slice("lines", F.col("hit.line") + 1, F.lit(context_lines))
-    return hits.select("file", F.col("hit.line").cast("bigint").alias("line"), F.col("hit.content").alias("content"), before.alias("context_before"), after.alias("context_after")).orderBy("file", "line")
+    numbered = lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"))), lambda x: test(x["content"]))
+    before = lambda lines, n: F.slice(lines, F.greatest(n - context_lines, F.lit(1)), F.least(n - 1, F.lit(context_lines)))
+    around = lambda lines, x: F.struct(x["line"].cast("bigint").alias("line"), x["content"].alias("content"), before(lines, x["line"]).alias("context_before"), F.slice(lines, x["line"] + 1, F.lit(context_lines)).alias("context_after"))
+    hits = let(lines_of(F.col("content")), lambda lines: F.transform(numbered(lines), lambda x: around(lines, x)))
+    found = files.select(F.col("path").alias("file"), F.explode(hits).alias("hit")).select("file", "hit.*")
+    return found.orderBy("file", "line").limit(max(1, max_results))
 
 
 def search_summary(rows: DataFrame, max_results: int = SEARCH_RESULTS) -> DataFrame:

@@ -80,9 +80,9 @@ def reachable(graph: Graph, start: DataFrame, max_depth: int, until: str | None
     """(key, depth, path) of what the outgoing edges reach from start (key) in max_depth steps, by the fewest; path is the least of keys among those.
 
     A level is one join of the new keys with the edges and one anti-join with those seen, so a level costs
-    what its edges cost; nothing returns to the driver but whether a level is empty or holds until.
+    what its edges cost, which are written once; nothing returns to the driver but whether a level is empty or holds until.
     """
-    edges = graph.edges.select("src_key", "dst_key")
+    edges = _checkpointed(graph.edges.select("src_key", "dst_key").distinct())
     seen = new = _checkpointed(start.select("key", F.lit(0).alias("depth"), F.array("key").alias("path")))
     for depth in range(1, max_depth + 1):
         if until is not None and not new.where(F.col("key") == until).isEmpty():
@@ -124,8 +124,9 @@ def neighbors(graph: Graph, start: DataFrame, depth: int = 2, max_neighbors: int
 
     A level that brings the number to max_neighbors is the last. The start may come back as a neighbour.
     """
-    both = graph.edges.select(F.col("src_key").alias("at"), F.col("dst_key").alias("key"), "edge_type", F.lit("outgoing").alias("direction"))
-    both = both.unionByName(graph.edges.select(F.col("dst_key").alias("at"), F.col("src_key").alias("key"), "edge_type", F.lit("incoming").alias("direction")))
+    edges = _checkpointed(graph.edges.select("src_key", "dst_key", "edge_type"))
+    both = edges.select(F.col("src_key").alias("at"), F.col("dst_key").alias("key"), "edge_type", F.lit("outgoing").alias("direction"))
+    both = both.unionByName(edges.select(F.col("dst_key").alias("at"), F.col("src_key").alias("key"), "edge_type", F.lit("incoming").alias("direction")))
     seen = new = _checkpointed(start.select("key"))
     out = None
     for level in range(1, depth + 1):

@@ -156,12 +156,12 @@ def update(graph: Graph, files: DataFrame, full: bool = False) -> tuple[Graph, D
     return Graph(kept.files.select(columns).unionByName(new.files.select(columns)), entities, edges, kept.fingerprints.unionByName(new.fingerprints)), changes
 
 
-def index_repository(spark: SparkSession, root: str, folder: str, full: bool = False) -> dict:
-    """Brings the snapshots in folder up to date with a repository; returns the report."""
+def index_repository(spark: SparkSession, root: str, folder: str, full: bool = False, most_errors: int = 1000) -> dict:
+    """Brings the snapshots in folder up to date with a repository; returns the report, which counts all failures and names the first most_errors."""
     store = Snapshots(spark, folder)
     files, errors = scan(spark, root)
     graph, changes = update(store.read(), files, full)
     store.write(graph)
     n = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
-    failed = [f"{r.path}: {r.error}" for r in errors.orderBy("path").limit(1000).collect()]
-    return {"indexed_files": n.get("added", 0) + n.get("changed", 0), "skipped_files": n.get("unchanged", 0), "removed_files": n.get("removed", 0), "parse_failures": len(failed), "errors": failed, "finished_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")}
+    failed = [f"{r.path}: {r.error}" for r in errors.orderBy("path").limit(most_errors).collect()]
+    return {"indexed_files": n.get("added", 0) + n.get("changed", 0), "skipped_files": n.get("unchanged", 0), "removed_files": n.get("removed", 0), "parse_failures": errors.count(), "errors": failed, "finished_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")}

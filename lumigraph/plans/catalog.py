@@ -490,10 +490,10 @@ def import_candidates(spark, sf_dir):
     return spark.createDataFrame(rows, "lang string, module string, path string").select("lang", "module", "path", imports.import_candidates(F.col("lang"), F.col("module"), F.col("path")).alias("candidates"))
 
 
-@query(f"with {_DOCS} select 'module' || doc_id || '.' || lang as module, path as resolved from docs where lang in ('en', 'de')")
+@query(f"with {_DOCS} select 'module' || doc_id || '.' || lang as module, path as resolved from docs")
 def import_resolution(spark, sf_dir):
     docs = document_files(spark, sf_dir)
-    found = docs.where("lang in ('en', 'de')").select(F.lit("main.py").alias("path"), F.lit("python").alias("lang"), F.concat(F.lit("module"), F.regexp_extract("path", r"doc_(\d+)", 1), F.lit("."), "lang").alias("module"), F.col("path").alias("target"))
+    found = docs.select(F.lit("main.py").alias("path"), F.lit("python").alias("lang"), F.concat(F.lit("module"), F.regexp_extract("path", r"doc_(\d+)", 1), F.lit("."), "lang").alias("module"), F.col("path").alias("target"))
     listing = found.select(F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit("/__init__.py")).alias("path"), "target")
     out = imports.resolve_imports(found, listing)
     return out.join(listing.select(F.col("path").alias("resolved"), "target"), "resolved").select("module", F.col("target").alias("resolved"))

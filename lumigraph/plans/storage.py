@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder; a temporary one is set only where the session names none."""
+    """df, written to the checkpoint folder. Only a local session that names none gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumigraph-"))
     return df.checkpoint()

@@ -251,6 +251,16 @@ class Hunk:
     new_lines: list[str] = field(default_factory=list)
 
 
+def shown(lines: list[str], most: int = 5) -> str:
+    """The first lines, quoted, and how many more there are."""
+    return repr("\n".join(lines[:most])) + (f" and {len(lines) - most} more lines" if len(lines) > most else "")
+
+
+def hunk_preview(h: Hunk) -> str:
+    """A hunk as a diff shows it."""
+    return "\n".join([f"@@ {h.start_line},{len(h.old_lines)} +{len(h.new_lines)} @@", *[f"-{x}" for x in h.old_lines], *[f"+{x}" for x in h.new_lines]])
+
+
 def patch_text(text: str, hunks: list[Hunk]) -> str:
     """Applies hunks in order of their lines, which count in the text as it was."""
     ends = text.endswith("\n")
@@ -261,7 +271,7 @@ def patch_text(text: str, hunks: list[Hunk]) -> str:
         if at < 0 or at + len(h.old_lines) > len(lines):
             raise EditError(f"patch hunk at line {h.start_line} is outside the file")
         if lines[at : at + len(h.old_lines)] != h.old_lines:
-            raise EditError(f"patch hunk at line {h.start_line} did not match file contents")
+            raise EditError(f"patch hunk at line {h.start_line} did not match file contents: expected {shown(h.old_lines)}, found {shown(lines[at : at + len(h.old_lines)])}")
         lines[at : at + len(h.old_lines)] = h.new_lines
         moved += len(h.new_lines) - len(h.old_lines)
     return "\n".join(lines) + ("\n" if ends and lines else "")
@@ -276,7 +286,7 @@ def apply_patch(root: str, patches: list[tuple[str, list[Hunk]]], dry_run: bool
     if not dry_run:
         for full, text in texts.items():
             _write(full, text)
-    return {"files_changed": len(texts), "hunks_applied": sum(len(h) for _, h in patches), "dry_run": dry_run}
+    return {"files_changed": len(texts), "hunks_applied": sum(len(h) for _, h in patches), "previews": [{"path": p, "diff_preview": "\n".join(map(hunk_preview, sorted(hs, key=lambda h: h.start_line)))} for p, hs in patches], "dry_run": dry_run}
 
 
 def move_file(root: str, source: str, target: str) -> dict:

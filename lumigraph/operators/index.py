@@ -96,7 +96,7 @@ def build_graph(files: DataFrame, listing: DataFrame) -> Graph:
     edges = edges.unionByName(edge(imports, F.lit("imports"), file_key, module_key, line=F.col("line"), col=F.col("col"), **own))
     edges = edges.unionByName(edge(resolved, F.lit("resolves_to"), module_key, target, **own)).unionByName(edge(resolved, F.lit("depends_on"), file_key, target, **own))
     edges = edges.unionByName(edge(special, F.lit("contains"), file_key, special_key, **own))
-    return Graph(files.drop("content"), entities, edges, fingerprint_files(files))
+    return Graph(files.drop("content"), entities, edges, fingerprint_files(files), parsed.where("error is not null").select("path", "error"))
 
 
 class Snapshots:
@@ -153,7 +153,7 @@ def update(graph: Graph, files: DataFrame, full: bool = False) -> tuple[Graph, D
     edges = kept.edges.where("edge_type not in ('depends_on', 'resolves_to')").unionByName(back).unionByName(new.edges)
     entities = drop_orphans(upsert_entities(kept.entities, new.entities), edges)
     columns = graph.files.columns
-    return Graph(kept.files.select(columns).unionByName(new.files.select(columns)), entities, edges, kept.fingerprints.unionByName(new.fingerprints)), changes
+    return Graph(kept.files.select(columns).unionByName(new.files.select(columns)), entities, edges, kept.fingerprints.unionByName(new.fingerprints), new.errors), changes
 
 
 def index_repository(spark: SparkSession, root: str, folder: str, full: bool = False, most_errors: int = 1000) -> dict:
@@ -163,5 +163,6 @@ def index_repository(spark: SparkSession, root: str, folder: str, full: bool = F
     graph, changes = update(store.read(), files, full)
     store.write(graph)
     n = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
+    errors = errors.unionByName(graph.errors)
     failed = [f"{r.path}: {r.error}" for r in errors.orderBy("path").limit(most_errors).collect()]
     return {"indexed_files": n.get("added", 0) + n.get("changed", 0), "skipped_files": n.get("unchanged", 0), "removed_files": n.get("removed", 0), "parse_failures": errors.count(), "errors": failed, "finished_at": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")}

@@ -18,6 +18,38 @@ from lumigraph.operators import clones, discover, files, graph, index
 from lumigraph.plans import paging, selectors
 from lumigraph.sources.repo import STATE_DIR, scan
 
+PROTOCOL = "2024-11-05"  # what is spoken where a client names none
+_TEXT, _NUMBER, _SHARE, _FLAG = ({"type": t} for t in ("string", "integer", "number", "boolean"))
+_LIST = lambda item: {"type": "array", "items": item}
+_OBJECT = lambda needed, **known: {"type": "object", "properties": known, "required": needed}
+_RANGE = _OBJECT(["path"], path=_TEXT, start_line=_NUMBER, end_line=_NUMBER)
+_EDIT = _OBJECT(["path", "old_text", "new_text"], path=_TEXT, old_text=_TEXT, new_text=_TEXT, replace_all=_FLAG)
+_HUNK = _OBJECT(["start_line"], start_line=_NUMBER, old_lines=_LIST(_TEXT), new_lines=_LIST(_TEXT))
+_REFERENCES = {"name": _TEXT, "file_glob": _TEXT, "language": _TEXT, "max_age_hours": _NUMBER, "dedup": _FLAG, "order": _TEXT, "limit": _NUMBER, "offset": _NUMBER, "top_files": _NUMBER}
+# What each tool does, the parameters that it needs, and all that it knows (verbosity comes with every one).
+DESCRIBED = {
+    "index_repository": ("Bring the index up to date with the repository, or build it anew.", [], {"full": _FLAG}),
+    "symbol_definitions": ("Where a name is defined.", ["name"], {"name": _TEXT}),
+    "symbol_references": ("What refers to a name, scored, with pages and the files that refer most.", ["name"], {"edge_type": _TEXT} | _REFERENCES),
+    "symbol_callers": ("What calls a name.", ["name"], _REFERENCES),
+    "symbol_source": ("The source of a name's definitions.", ["name"], {"name": _TEXT, "context_lines": _NUMBER, "max_definitions": _NUMBER, "max_total_lines": _NUMBER}),
+    "dependency_path": ("A shortest path between two selectors.", ["from", "to"], {"from": _TEXT, "to": _TEXT, "max_depth": _NUMBER}),
+    "minimal_slice": ("What is around a place of a file in the graph.", ["file"], {"file": _TEXT, "line": _NUMBER, "depth": _NUMBER, "max_neighbors": _NUMBER, "dedup": _FLAG, "suppress_repeats": _FLAG, "name_cap": _NUMBER, "prefer_project": _FLAG}),
+    "clone_matches": ("Files that share code with a file.", ["file"], {"file": _TEXT, "min_similarity": _SHARE, "limit": _NUMBER, "offset": _NUMBER}),
+    "selector_discover": ("Selectors that fit a query.", [], {"query": _TEXT, "entity_type": _TEXT, "file_glob": _TEXT, "limit": _NUMBER, "fuzzy": _FLAG}),
+    "read_file": ("Lines of a file.", ["path"], {"path": _TEXT, "start_line": _NUMBER, "end_line": _NUMBER, "max_lines": _NUMBER}),
+    "multi_read": ("Lines of several files under one budget.", ["files"], {"files": _LIST(_RANGE), "max_total_lines": _NUMBER}),
+    "file_outline": ("The symbols that a file defines.", ["path"], {"path": _TEXT, "max_depth": _NUMBER}),
+    "multi_outline": ("How many symbols several files define.", ["paths"], {"paths": _LIST(_TEXT), "max_depth": _NUMBER}),
+    "search_files": ("Lines that hold a text or match a pattern.", ["pattern"], {"pattern": _TEXT, "is_regex": _FLAG, "file_glob": _TEXT, "context_lines": _NUMBER, "max_results": _NUMBER}),
+    "list_directory": ("What is in a directory.", [], {"path": _TEXT, "recursive": _FLAG, "max_depth": _NUMBER, "file_glob": _TEXT}),
+    "write_file": ("Write a file.", ["path"], {"path": _TEXT, "content": _TEXT, "create_dirs": _FLAG}),
+    "edit_file": ("Replace a text of a file.", ["path", "old_text", "new_text"], _EDIT["properties"] | {"dry_run": _FLAG}),
+    "batch_edit": ("Replace texts of several files, all or none.", ["edits"], {"edits": _LIST(_EDIT), "dry_run": _FLAG}),
+    "apply_patch": ("Apply hunks to several files, all or none.", ["patches"], {"patches": _LIST(_OBJECT(["path", "hunks"], path=_TEXT, hunks=_LIST(_HUNK))), "dry_run": _FLAG}),
+    "move_file": ("Move a file.", ["from", "to"], {"from": _TEXT, "to": _TEXT}),
+    "delete_file": ("Delete a file.", ["path"], {"path": _TEXT}),
+}
 UNKNOWN_METHOD, BAD_PARAMETERS = -32601, -32602
 HIDDEN_IF_COMPACT = ("why", "meta_json", "diagnostics")
 _NEEDED = object()
@@ -179,11 +211,12 @@ def answer(tools: Tools, request: dict) -> dict | None:
     reply = {"jsonrpc": "2.0", "id": request["id"]}
     error = lambda code, text: reply | {"error": {"code": code, "message": text}}
     if method == "initialize":
-        return reply | {"result": {"capabilities": {"tools": {}}, "serverInfo": {"name": "lumigraph", "version": "0.1"}}}
+        asked = params.get("protocolVersion")
+        return reply | {"result": {"protocolVersion": asked if isinstance(asked, str) else PROTOCOL, "capabilities": {"tools": {"listChanged": False}}, "serverInfo": {"name": "lumigraph", "version": "0.1"}}}
     if method == "ping":
         return reply | {"result": {}}
     if method == "tools/list":
-        return reply | {"result": {"tools": [{"name": n} for n in sorted(tools.tools)]}}
+        return reply | {"result": {"tools": [{"name": n, "description": d, "inputSchema": _OBJECT(needed, **known, verbosity={"type": "string", "enum": ["compact", "normal", "debug"]})} for n, (d, needed, known) in sorted(DESCRIBED.items())]}}
     if method != "tools/call":
         return error(UNKNOWN_METHOD, f"unknown method {method}")
     if params.get("name") not in tools.tools:

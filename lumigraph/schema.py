@@ -19,9 +19,12 @@ EDGE_TYPES = ("defines", "names", "calls", "references", "imports", "resolves_to
 
 @dataclass
 class Graph:
-    """files, entities, edges and fingerprints as DataFrames. Entities are named by key; edges join keys."""
+    """files, entities, edges and fingerprints as DataFrames. Entities are named by key; edges join keys.
+
+    errors (path, error) are those that parsing the files just met, where it did."""
 
     files: DataFrame
     entities: DataFrame
     edges: DataFrame
     fingerprints: DataFrame | None = None
+    errors: DataFrame | None = None

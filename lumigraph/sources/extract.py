@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 DEFINITION = "name string, qualname string, kind string, line bigint, col bigint, end_line bigint, end_col bigint"
 REFERENCE = "name string, edge_type string, line bigint, col bigint, end_line bigint, end_col bigint"
 IMPORT = "module string, line bigint, col bigint"
-EXTRACTED = f"path string, lang string, definitions array<struct<{DEFINITION.replace(' ', ':').replace(',:', ',')}>>, references array<struct<{REFERENCE.replace(' ', ':').replace(',:', ',')}>>, imports array<struct<{IMPORT.replace(' ', ':').replace(',:', ',')}>>"
+EXTRACTED = f"path string, lang string, definitions array<struct<{DEFINITION.replace(' ', ':').replace(',:', ',')}>>, references array<struct<{REFERENCE.replace(' ', ':').replace(',:', ',')}>>, imports array<struct<{IMPORT.replace(' ', ':').replace(',:', ',')}>>, error string"
 
 _ID = r"[A-Za-z_$][\w$]*"
 _COMMON = "if else for while do switch case return break continue new try catch finally throw class struct enum in of is as import from package using namespace const let var val fn func function def end then match where when yield await async this self super null nil None true false True False and or not static public private protected void int float double bool char string let mut pub use mod impl trait type interface extends implements".split()
@@ -66,6 +66,14 @@ RULES = {
     "css": Rules([("class_selector", r"\.(-?[A-Za-z_][\w-]*)(?=[^{}:;]*\{)"), ("id_selector", r"#(-?[A-Za-z_][\w-]*)(?=[^{}:;]*\{)"), ("tag_name", r"(?:^|[\s,>+~}])([A-Za-z][\w-]*)(?=[^{};]*\{)")], r"^\s*@import\s+(?:url\()?['\"]?([^'\")\s;]+)", comments=r"/\*.*?\*/", calls=r"(?!)", names=r"(?<=[{;])\s*([\w-]+)\s*:"),
 }
 RULES["tsx"] = RULES["typescript"]
+# for files that Python's own parser refuses
+RULES["python"] = Rules(
+    [("function_definition", r"^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*\)[^:\n]*:"), ("class_definition", r"^[ \t]*class[ \t]+([A-Za-z_]\w*)[^:\n]*:")],
+    imports=r"^[ \t]*(?:from|import)[ \t]+(\.*[\w.]*)",
+    comments=r"#[^\n]*",
+    strings=r"\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
+    ends="indent",
+)
 
 
 @dataclass
@@ -75,6 +83,7 @@ class Found:
     definitions: list[dict] = field(default_factory=list)
     references: list[dict] = field(default_factory=list)
     imports: list[dict] = field(default_factory=list)
+    error: str | None = None
 
 
 class _Places:
@@ -120,6 +129,11 @@ def _close(text: str, at: int, how: str) -> int:
     """Where a definition that starts at a place ends."""
     line = text.find("\n", at)
     line = len(text) if line < 0 else line
+    if how == "indent":  # before the first line that is no deeper than the definition's own
+        first = text.rfind("\n", 0, at) + 1
+        depth = len(text[first:at]) - len(text[first:at].lstrip())
+        after = re.compile(rf"^[ \t]{{0,{depth}}}[^ \t\n]", re.M).search(text, line + 1)
+        return len(text[: after.start() if after else len(text)].rstrip())
     if how == "end":
         depth = 0
         for m in re.finditer(r"\b(?:def|class|module|function|if|unless|case|while|do|begin|fn)\b|\bend\b", text[at:]):
@@ -272,13 +286,14 @@ READERS = {"python": python, "html": html, "json": json_keys, "toml": toml, "yam
 
 
 def extract_one(lang: str | None, text: str) -> Found:
-    """Unknown languages and files that can't be parsed hold nothing."""
+    """Unknown languages hold nothing. Where a file can't be parsed, error says why; Python then goes by lexical rules."""
     if lang not in READERS and lang not in RULES:
         return Found()
     try:
         out = READERS[lang](text) if lang in READERS else lexical(lang, text)
-    except (SyntaxError, ValueError, RecursionError):
-        return Found()
+    except (SyntaxError, ValueError, RecursionError) as e:
+        out = lexical(lang, text) if lang in RULES else Found()
+        out.error = f"{type(e).__name__}: {e}"
     out.definitions = _qualify(out.definitions)
     out.references = _once([r for r in out.references if r["name"] not in ("self", "super")], "name", "edge_type", "line", "col")
     out.imports = _once([i for i in out.imports if i["module"]], "module", "line", "col")
@@ -286,11 +301,11 @@ def extract_one(lang: str | None, text: str) -> Found:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """(path, lang, definitions, references, imports) of files (path, lang, content): one row each, no shuffle."""
+    """(path, lang, definitions, references, imports, error) of files (path, lang, content): one row each, no shuffle."""
 
     def run(frames):
         for frame in frames:
             found = [extract_one(lang, text or "") for lang, text in zip(frame["lang"], frame["content"], strict=True)]
-            yield pd.DataFrame({"path": frame["path"], "lang": frame["lang"], "definitions": [f.definitions for f in found], "references": [f.references for f in found], "imports": [f.imports for f in found]})
+            yield pd.DataFrame({"path": frame["path"], "lang": frame["lang"], "definitions": [f.definitions for f in found], "references": [f.references for f in found], "imports": [f.imports for f in found], "error": [f.error for f in found]})
 
     return files.select("path", "lang", "content").mapInPandas(run, EXTRACTED)

@@ -122,3 +122,21 @@ def test_extractors(lang, text, names, calls, modules):
     assert {d["qualname"] for d in found.definitions} >= names and bool(found.definitions) == bool(names)
     assert {r["name"] for r in found.references if r["edge_type"] == "calls"} >= calls
     assert {i["module"] for i in found.imports} == modules
+
+
+def test_patches_show_what_they_do_and_what_they_miss(tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\nthree\n")
+    out = files.apply_patch(str(tmp_path), [("a.txt", [files.Hunk(2, ["two"], ["zwei", "2"])])], dry_run=True)
+    assert out["previews"] == [{"path": "a.txt", "diff_preview": "@@ 2,1 +2 @@\n-two\n+zwei\n+2"}]
+    with pytest.raises(files.EditError, match="expected 'deux', found 'two'"):
+        files.apply_patch(str(tmp_path), [("a.txt", [files.Hunk(2, ["deux"], [])])])
+
+
+def test_python_that_does_not_parse_is_still_read():
+    from lumigraph.sources.extract import extract_one
+
+    found = extract_one("python", "import os\nfrom a.b import c\nclass A:\n    def f(self):\n        print 'def no(): x'\n\n    def g(self):\n        return h(1)\n\ndef top():\n    pass\n")
+    assert found.error.startswith("SyntaxError")
+    assert [(d["qualname"], d["kind"], d["line"], d["end_line"]) for d in found.definitions] == [("A", "class_definition", 3, 8), ("A::f", "function_definition", 4, 5), ("A::g", "function_definition", 7, 8), ("top", "function_definition", 10, 11)]
+    assert [i["module"] for i in found.imports] == ["os", "a.b"] and ("h", "calls") in {(r["name"], r["edge_type"]) for r in found.references}
+    assert extract_one("python", "x = 1\n").error is None

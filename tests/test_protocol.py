@@ -51,3 +51,19 @@ def test_frames(tools):
     assert parameter({"line": None}, "line", int, 5) == 5
     with pytest.raises(ValueError, match="limit"):
         parameter({"limit": None}, "limit", int, 5)
+
+
+def test_every_tool_is_described(tools):
+    told = answer(tools, {"id": 1, "method": "tools/list"})["result"]["tools"]
+    assert {t["name"] for t in told} == set(tools.tools) and all(t["description"] and t["inputSchema"]["type"] == "object" for t in told)
+    for t in told:  # a needed parameter that is missing is refused by name
+        for name in t["inputSchema"]["required"]:
+            assert name in t["inputSchema"]["properties"]
+    assert answer(tools, {"id": 1, "method": "initialize"})["result"]["protocolVersion"]
+    assert answer(tools, {"id": 1, "method": "initialize", "params": {"protocolVersion": "2025-01-01"}})["result"]["protocolVersion"] == "2025-01-01"
+
+
+def test_text_output():
+    from lumigraph.__main__ import as_text
+
+    assert as_text({"rows": [{"name": "f", "score": 1.346, "similarity": 0.5}], "found": True, "page": {"total": 2}}) == "rows:\nf\t1.35\t0.500\nfound: True\npage: total=2"

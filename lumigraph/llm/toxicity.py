@@ -19,7 +19,7 @@ ORDER = 3  # letters of a subsequence
 DECAY = 0.85  # for each letter that a subsequence spans
 POWER = 5  # of the normalised kernel; powers of a kernel are kernels
 FLOOR = 0.55  # normalised values below it count as 0
-SHARED = 0.7  # so do those of words that have a smaller share of a landmark's letters in its order
+SHARED = 0.6  # so do those of words that have a smaller share of a landmark's letters in its order
 WINDOW, STEP = 24, 12  # longer words count as their best window
 VARIANTS = 8  # misspelt forms of each word that are learnt from
 SPELLED = 4  # so many single letters in a row are read as a word as well

@@ -180,3 +180,21 @@ def test_findings_that_no_rule_made(make_docs):
     assert ids >= set(range(7)) and len(ids - set(range(7))) <= 1, ids
     texts = dict(rows)
     assert [texts[r.doc_id][r.start : r.end] for r in sorted(got, key=lambda r: r.doc_id) if r.kind == "private_key"] == [secret[0], secret[1][12:-7], secret[2]]
+
+
+def test_the_letters_in_order_lose_no_kernel_value(monkeypatch):
+    """With and without the quick test by common letters, the same words reach the floor."""
+    rng, marks = random.Random(1), ["idiot", "worthless", "moron", "pathetic"]
+    words = ["".join(rng.choice("idotmrnwhlespac") for _ in range(rng.randint(3, 12))) for _ in range(20_000)] + ["".join(rng.choice(w) for _ in range(rng.randint(3, 8))) for w in marks * 2000]
+    got = toxicity.Landmarks(marks).of(words)
+    monkeypatch.setattr(toxicity, "SHARED", 0.0)
+    assert np.array_equal(got, toxicity.Landmarks(marks).of(words)) and (got > 0).sum() > 50
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    model = toxicity.Model(["idiot", "poop"], np.array([4.0, 4.0], np.float32), -1.0)
+    text = "the inan anst " * 20 + "you idiot there " + "er on " * 30 + " p o o p x" + " le st" * 30
+    whole = model.margins([text, "the inan p o o p anst " * 3, "inan xidiotx"])
+    monkeypatch.setattr(toxicity, "STRETCH", 64)
+    monkeypatch.setattr(toxicity, "OVERLAP", 32)
+    assert model.margins([text, "the inan p o o p anst " * 3, "inan xidiotx"]) == whole

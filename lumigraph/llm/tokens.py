@@ -217,6 +217,10 @@ class Vocabulary:
             sizes[i] = len(x)
         return sizes, np.zeros(0, self.kind)
 
+    def sizes(self, names: list[str]) -> np.ndarray:
+        """The number of tokens of each pre-token, as pre_tokens() cuts them."""
+        return self._sizes(names)[0]
+
     def _encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids) of pre-tokens."""
         spelled, whole = self._spelled(names)

@@ -112,10 +112,8 @@ def test_pre_tokens_as_the_library_and_a_small_table(monkeypatch):
 def test_counts_by_frequent_and_joined_pre_tokens(make_docs, odd_rows, monkeypatch, most):
     """However many pre-tokens are sent to the tasks, the counts are the library's."""
     monkeypatch.setattr("lumigraph.llm.token_counts.MOST_SENT", most)
-    if most == 40:  # long texts in several pieces; workers are told by a function's own defaults
-        monkeypatch.setattr("lumigraph.llm.token_counts.STRETCH", 4096)
     rng = random.Random(7)
     rows = [*odd_rows, (None, "no id here"), *[(100 + i, " ".join(f"w{rng.randint(0, 60)}{'x' * rng.randint(0, 90)}'s, {rng.random()}" for _ in range(rng.randint(0, 40)))) for i in range(60)], *enumerate(TRICKY, 1000)]
-    rows += rows[-5:]
+    rows += [*rows[-5:], (9000, " ".join(f"v{k % 5000},x" for k in range(300_000)))]  # the last in several stretches
     got = sorted(map(tuple, count_tokens(make_docs(rows), PATH).collect()), key=repr)
     assert got == sorted(((i, len((t or "").encode()), len(expected(t or "")), len(expected(t or "")) > 2048) for i, t in rows), key=repr)

@@ -17,8 +17,6 @@ from lumigraph.llm.words import coded_words
 SEED_WORDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 MOST_BLOCK_BYTES = 32 << 20
-# One document in so many is read for the seeds' order of rarity, which sets the cost but not the result.
-SAMPLE = 16
 # Cells of one round of alignments; bounds memory whatever the number of candidates.
 _CELLS = 4_000_000
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -160,14 +158,14 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _run_counts(docs: DataFrame, shared) -> DataFrame:
-    """(run, n): in how many of these documents each run stands. A task sends a row for each run at most."""
+    """(run, n): how often each run stands in all of these documents. A task sends a row for each run at most."""
 
     def run(batches):
-        items, total = shared.value, None
+        items, total, apart = shared.value, None, np.zeros(1, np.int64)  # no run goes from one text into the next
         for _, (texts,) in slices(batches, STRETCH, 0):
             total = np.zeros(len(items.codes), np.int64) if total is None else total
-            for words in items.numbers(texts):
-                total[np.unique(items.hits(words)[1])] += 1
+            words = [x for own in items.numbers(texts) for x in (own, apart)]
+            total += np.bincount(items.hits(np.concatenate(words))[1], minlength=len(total))
         runs = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(total[runs] if len(runs) else runs)], ["run", "n"])
 
@@ -269,7 +267,7 @@ def _score(batches, items: _Items, seeds: _Seeds, least: float, text_at: int):
 
 
 def _blocks(spark, docs: DataFrame, benchmark: DataFrame, seed_words: int, min_score: float, item_col: str, item_text_col: str):
-    """(items, seeds) of each block of the benchmark, as broadcasts; docs (t as binary) tell how rare runs are."""
+    """(items, seeds) of each block of the benchmark, as broadcasts; all of docs (t as binary) tell how rare runs are."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("x")).where("i is not null").distinct()
     total = items.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     blocks = -(-total // MOST_BLOCK_BYTES) or 1
@@ -280,7 +278,7 @@ def _blocks(spark, docs: DataFrame, benchmark: DataFrame, seed_words: int, min_s
             continue
         shared = spark.sparkContext.broadcast(block)
         counts = np.zeros(len(block.codes), np.int64)
-        for r in _run_counts(docs.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0), shared).collect():
+        for r in _run_counts(docs, shared).collect():
             counts[r.run] = r.n
         yield shared, spark.sparkContext.broadcast(_Seeds(block, counts))
 
@@ -293,16 +291,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, seed_words: int =
     whole item, word for word); end_word counts the document's words up to its end. All pairs of min_score
     or more are returned, once each: only stretches are aligned that hold as many of an item's seeds as
     min_score makes sure of. Seeds are the rarer of its runs of seed_words words, or of fewer words where
-    min_score makes sure of no such run (of single words at 0.5). Which runs are rarer is told from a
-    sample of the documents; it decides how much is aligned, not what is found.
+    min_score makes sure of no such run (of single words at 0.5). Which runs are rarer is counted over all
+    documents; it decides how much is aligned, not what is found.
 
     Null and empty texts and items, and items without words, give no rows, nor do items without id;
     documents without id come back with a null id. Repeated documents give repeated rows; of items that
     repeat an id every distinct text is looked for, and the best score counts. Other columns are ignored.
 
     The benchmark is the stated query set: it goes to the executors in blocks of bounded size, one after
-    the other, and every document is read against each block, without a shuffle. Only counts of the
-    block's runs leave the sample.
+    the other, and every document is read twice against each block, first to count its runs, without a
+    shuffle of texts. A task of the first reading sends a row for each of the block's runs at most.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
@@ -326,11 +324,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, seed_words: int =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, min_score: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text holds no item as find_contamination() finds them.
 
-    Each row is judged by its own text, whatever its id, null or repeated. One pass for each block of the
-    benchmark, without a shuffle or a join."""
+    Each row is judged by its own text, whatever its id, null or repeated. Two passes for each block of the
+    benchmark, without a join or a shuffle of texts."""
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
-    sample = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    for shared, seeds in _blocks(spark, sample, benchmark, seed_words, min_score, item_col, item_text_col):
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    for shared, seeds in _blocks(spark, texts, benchmark, seed_words, min_score, item_col, item_text_col):
 
         def run(batches, shared=shared, seeds=seeds):
             binary = (b.set_column(at, b.schema.field(at).name, b.column(at).cast(pa.binary())) for b in batches)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumigraph.llm import fingerprints as fingerprint_module
-from lumigraph.llm import near_dup
+from lumigraph.llm import decontamination, near_dup
 from lumigraph.llm.decontamination import align, drop_contaminated, find_contamination
 from lumigraph.llm.fingerprints import compare_edits, fingerprint_documents, fingerprints, likeness, pack, unpack
 from lumigraph.llm.near_dup import drop_near_duplicates, near_duplicates
@@ -219,6 +219,28 @@ def test_blocks_of_the_benchmark(spark, make_docs, monkeypatch):
     assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == left == sorted({r[0] for r in [(d,) for d in range(60)]} - {r[0] for r in one})
 
 
+def test_runs_are_counted_over_all_documents(spark, make_docs, monkeypatch):
+    """Seeds go by how often an item's words stand in every text, none left out and no run across two texts."""
+    seen = []
+    make = decontamination._Seeds.__init__
+    monkeypatch.setattr(decontamination._Seeds, "__init__", lambda self, items, counts: seen.append((items, counts)) or make(self, items, counts))
+    words, rng = [f"w{k}" for k in range(8)], random.Random(2)
+    rows = [(d, " ".join(rng.choice([*words, "x", "y", "..."]) for _ in range(rng.randint(0, 12)))) for d in range(200)] + [(None, "w0 W1, w2"), (7, None), (8, "w7"), (9, "w0")]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    for least, size in ((0.5, 1), (0.9, 2)):
+        find_contamination(make_docs(rows), bench, min_score=least)
+        items, counts = seen.pop()
+        number = items.known
+        texts = [[w for w in ((t or "").lower().replace(",", "").split()) if w != "..."] for _, t in rows]
+        want = {}
+        for t in texts:
+            for a in range(len(t) - size + 1):
+                if all(w in number for w in t[a : a + size]):
+                    code = sum(number[w] * (len(number) + 1) ** (size - 1 - k) for k, w in enumerate(t[a : a + size]))
+                    want[code] = want.get(code, 0) + 1
+        assert items.bounds[0][0] == size and counts.tolist() == [want.get(c, 0) for c in items.codes.tolist()] and counts.min() > 0
+
+
 def test_one_row_of_each_group_stays(make_docs):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(1, text), (1, text), (2, text), (3, text + " more"), (4, "other words"), (4, "different words here"), (None, text), (5, None), (5, None)]

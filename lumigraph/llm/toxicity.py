@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 from itertools import combinations, repeat
 
 import numpy as np
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigraph.llm.common import slices
-from lumigraph.llm.tokens import parts
+from lumigraph.llm.common import discard, materialize, slices
+from lumigraph.llm.tokens import parts, stretches
 from lumigraph.llm.words import coded_words
 
 ORDER = 3  # letters of a subsequence
@@ -28,7 +29,8 @@ STRETCH = 1 << 21  # bytes that are read at once, and
 OVERLAP = 256  # of them that the next stretch of a text reads again
 LONG_WORD = 1 << 14  # letters of a word that are compared at once
 LONGEST = 64  # letters of a word that is kept
-LEAST_GAIN = 20  # of a landmark's log-likelihood ratio: five toxic texts of ten in a hundred, and no clean one
+LEAST_GAIN = 20  # of a landmark's log-likelihood ratio: five toxic texts of ten in a hundred, and no clean one;
+GAIN_TEXTS = 4_000  # among more texts as much more: with enough of them any slight difference is significant
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _GAP = re.compile(rb"[ \t-\r]")
@@ -269,6 +271,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.array(self.margins(texts), np.float64) + self.offset, -50, 50)))
 
 
+def _gain(k1: int, k2: int, n1: int, n2: int) -> float:
+    """The log-likelihood ratio of a word's rates in toxic and clean texts; the greater k1, the greater."""
+    if k1 / n1 <= k2 / n2:
+        return 0.0
+    p = (k1 + k2) / (n1 + n2)
+    return 2 * sum(k * np.log(k / n / q) for k, n, q in ((k1, n1, p), (n1 - k1, n1, 1 - p), (k2, n2, p), (n2 - k2, n2, 1 - p)) if k)
+
+
+def _best(held: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, most: int | None) -> dict[str, int]:
+    """The words that tell toxic texts apart, best first."""
+    found = sorted(((_gain(k, clean.get(w, 0), n_toxic, max(1, n_clean)), w) for w, k in held.items() if k >= max(3, 0.01 * n_toxic)), key=lambda x: (-x[0], x[1]))
+    least = LEAST_GAIN * max(1, (n_toxic + n_clean) / GAIN_TEXTS)
+    return {w: held[w] for g, w in found[:most] if g >= least}
+
+
+def _beside(text: str) -> dict[str, set]:
+    """The pairs of words that each word of a text stands between."""
+    words = [_EDGES.sub("", w) for w in text.lower().split()]
+    own: dict[str, set] = {}
+    for u, w, v in zip(["", *words], words, [*words[1:], ""], strict=False):
+        if ORDER <= len(w) <= WINDOW:
+            own.setdefault(w, set()).add((u, v))
+    return own
+
+
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = MOST_LANDMARKS) -> tuple[dict[str, int], Counter]:
     """Words that tell toxic texts apart, with the number of toxic texts that show it; and how many clean texts hold each word.
 
@@ -278,29 +305,15 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = MOST_LANDM
     beside: dict[str, set] = {}
     held, clean, n_toxic = Counter(), Counter(), int(toxic.sum())
     for text, y in zip(texts, toxic, strict=True):
-        words = [_EDGES.sub("", w) for w in text.lower().split()]
+        own = _beside(text)
         if not y:
-            clean.update({w for w in words if ORDER <= len(w) <= WINDOW})
+            clean.update(own.keys())
             continue
-        own: dict[str, set] = {}
-        for u, w, v in zip(["", *words], words, [*words[1:], ""], strict=False):
-            if ORDER <= len(w) <= WINDOW:
-                own.setdefault(w, set()).add((u, v))
         for w, pairs in own.items():
             seen = beside.setdefault(w, set())
             held[w] += pairs.isdisjoint(seen)
             seen |= pairs
-
-    def gain(w: str) -> float:
-        """The log-likelihood ratio of the word's rates in toxic and clean texts."""
-        k1, k2, n1, n2 = held[w], clean[w], n_toxic, max(1, len(texts) - n_toxic)
-        if k1 / n1 <= k2 / n2:
-            return 0.0
-        p = (k1 + k2) / (n1 + n2)
-        return 2 * sum(k * np.log(k / n / q) for k, n, q in ((k1, n1, p), (n1 - k1, n1, 1 - p), (k2, n2, p), (n2 - k2, n2, 1 - p)) if k)
-
-    found = sorted(((gain(w), w) for w, k in held.items() if k >= max(3, 0.01 * n_toxic)), key=lambda x: (-x[0], x[1]))
-    return {w: held[w] for g, w in found[:most] if g >= LEAST_GAIN}, clean
+    return _best(held, clean, n_toxic, len(texts) - n_toxic, most), clean
 
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, count: np.ndarray, cost: float = 3000.0, steps: int = 50) -> np.ndarray:
@@ -319,14 +332,14 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, count: np.ndarray, cost: float = 3000
     return w
 
 
-def _fit_scale(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's scaling: slope and offset of a logistic curve, with his softened targets."""
-    up, down = (y > 0).sum(), (y < 0).sum()
+def _fit_scale(margins: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[float, float]:
+    """Platt's scaling: slope and offset of a logistic curve, with his softened targets, for count texts of each margin and class."""
+    up, down = count[y > 0].sum(), count[y < 0].sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     x, w = np.stack([margins, np.ones_like(margins)], 1), np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target) + 1e-6 * w)
+        step = np.linalg.solve((x * (count * (p * (1 - p) + 1e-9))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (count * (p - target)) + 1e-6 * w)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -339,23 +352,35 @@ def _variants(word: str, rng: np.random.RandomState) -> list[str]:
     return [word[:i] + letters[rng.randint(26)] + word[i:] for i in rng.randint(1, max(2, len(word)), VARIANTS)]
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Model | None:
-    """A model from labelled texts; None where the labels tell of one class alone or no word tells them apart.
+def _misspelt(chosen: dict[str, int]) -> list[tuple[str, str]]:
+    """(misspelt form, word) of the chosen words."""
+    rng = np.random.RandomState(0)
+    return [(v, w) for w in chosen for v in _variants(w, rng)]
 
-    Sentences of toxic texts are toxic for the chosen words in them, which are learnt with misspelt forms;
-    every word of a clean sentence is clean. The landmarks are the chosen words and, from a first machine
-    on these alone, the clean words that it finds hardest to tell from them.
-    """
+
+def train(texts: list[str], toxic: np.ndarray) -> Model | None:
+    """A model from labelled texts in memory; None where the labels tell of one class alone or no word tells them apart. fit() does the same for tables."""
     toxic = np.asarray(toxic, bool)
     chosen, clean = choose_landmarks(texts, toxic) if toxic.any() and not toxic.all() else ({}, Counter())
     if not chosen:
         return None
-    rng, words = np.random.RandomState(0), list(chosen)
-    misspelt = [(v, 0.3 * n / VARIANTS) for w, n in chosen.items() for v in _variants(w, rng) if v not in clean]
     known = sorted(w for w in clean if w not in chosen)
-    near = Landmarks(words).of(known).any(axis=1)
-    bad = [*chosen.items(), *misspelt]
-    good = [(w, clean[w]) for w, n in zip(known, near, strict=True) if n] + [(w, clean[w]) for w in words if clean[w]] + [("", int((~toxic).sum()))]
+    near = Landmarks(list(chosen)).of(known).any(axis=1)
+    model = _learn(chosen, [w for w, n in zip(known, near, strict=True) if n], clean, int((~toxic).sum()))
+    model.slope, model.offset = _fit_scale(np.array(model.margins(texts)), np.where(toxic, 1.0, -1.0), np.ones(len(texts)))
+    return model
+
+
+def _learn(chosen: dict[str, int], near: list[str], clean: dict[str, int], n_clean: int) -> Model:
+    """A model from the chosen words, the clean words near them, and how many of n_clean clean texts hold each.
+
+    Sentences of toxic texts are toxic for the chosen words in them, which are learnt with misspelt forms;
+    every word of a clean sentence is clean. The landmarks are the chosen words and, from a first machine
+    on these alone, the clean words that it finds hardest to tell from them.
+    """
+    words = list(chosen)
+    bad = [*chosen.items(), *((v, 0.3 * chosen[w] / VARIANTS) for v, w in _misspelt(chosen) if v not in clean)]
+    good = [(w, clean[w]) for w in near] + [(w, clean[w]) for w in words if clean.get(w)] + [("", n_clean)]
     names, count = [w for w, _ in bad + good], np.array([n for _, n in bad + good], np.float64)
     y = np.where(np.arange(len(names)) < len(bad), 1.0, -1.0)
 
@@ -373,9 +398,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     hard = sorted(((m, w) for m, w, k in zip(margins, names, y, strict=True) if k < 0 and m > -0.5 and w and w not in chosen), reverse=True)[:MOST_CLEAN]
     landmarks = words + [w for _, w in hard]
     weights, bias, _ = machine(landmarks)
-    model = Model(landmarks, weights.astype(np.float32), bias)
-    model.slope, model.offset = _fit_scale(np.array(model.margins(texts)), np.where(toxic, 1.0, -1.0))
-    return model
+    return Model(landmarks, weights.astype(np.float32), bias)
 
 
 def held_out(id_col: str):
@@ -383,19 +406,118 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Trains on a sample of labelled documents that are not held out: the max_rows of them whose ids hash lowest,
-    less those of more than max_chars characters. Both bounds hold at any size of input. Nulls are left out; of
-    several labels of one id the greatest counts, of several texts the greatest."""
-    rows = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null").where(~held_out("i"))
-    sample = rows.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t") <= max_chars)
-    found = texts.join(F.broadcast(sample), "i").groupBy("i").agg(F.max("t").alias("t"), F.max("y").alias("y")).collect()
-    found.sort(key=lambda r: str(r.i))
-    return train([r.t for r in found], np.array([r.y == 1 for r in found], bool)) if found else None
+def _held_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(rows, places, words): the words of a landmark's length that each text holds, once each, as places among the distinct ones."""
+    number: dict[str, int] = {}
+    found = [np.zeros(0, np.int64)]
+    for rows, pieces in stretches(texts, STRETCH):
+        codes, bounds, distinct = coded_words(pieces, ascii_space=False)
+        bare = [_EDGES.sub("", w.lower()) for w in distinct]
+        place = np.array([number.setdefault(w, len(number)) if ORDER <= len(w) <= WINDOW else -1 for w in bare], np.int64)[codes]
+        row = np.repeat(rows, np.diff(bounds))
+        found.append(np.unique((row << 32 | place)[place >= 0]))
+    key = np.unique(np.concatenate(found))
+    return key >> 32, key & 0xFFFFFFFF, list(number)
+
+
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(w, toxic, clean): how many of these texts (t, y) of either class hold each word."""
+
+    def run(batches):
+        for part, (found,) in slices(batches, 4 * STRETCH, 0):
+            rows, places, words = _held_words([t.encode() for t in found])
+            bad = np.array(part.column(1).to_pylist(), bool)[rows]
+            counts = [np.bincount(places[k], minlength=len(words)) for k in (bad, ~bad)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *map(pa.array, counts)], ["w", "toxic", "clean"])
+
+    return texts.select("t", "y").mapInArrow(run, "w string, toxic bigint, clean bigint").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _shown(texts: DataFrame, words: set[str]) -> dict[str, int]:
+    """For each word the number of these toxic texts (i, t) that have it only between pairs of words that no earlier one has it between.
+
+    A text is counted for a word where it is the first for as many pairs as it has the word between."""
+
+    def run(batches):
+        for part, (found,) in slices(batches, STRETCH, 1):
+            rows = [(i, w, blake2b(f"{u} {v}".encode(), digest_size=16).digest()) for i, t in zip(part.column(0).to_pylist(), found, strict=True) for w, pairs in _beside(t).items() if w in words for u, v in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.binary()))], ["i", "w", "pair"])
+
+    pairs = texts.select(F.col("i").cast("string").alias("i"), "t").mapInArrow(run, "i string, w string, pair binary")
+    has = pairs.groupBy("w", "i").agg((-F.count("*")).alias("n"))
+    first = pairs.groupBy("w", "pair").agg(F.min("i").alias("i")).groupBy("w", "i").agg(F.count("*").alias("n"))
+    alone = has.unionByName(first).groupBy("w", "i").agg(F.sum("n").alias("n")).where("n = 0")
+    return {r.w: r.n for r in alone.groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+
+def _near_words(counts: DataFrame, chosen: dict[str, int]) -> tuple[list[str], dict[str, int]]:
+    """(clean words with a kernel value with a chosen one, how many clean texts hold these, the chosen ones and their misspelt forms)."""
+    asked = {*chosen, *(v for v, _ in _misspelt(chosen))}
+    marks = counts.sparkSession.sparkContext.broadcast(Landmarks(list(chosen)))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 8192):
+                part = batch.slice(lo, 8192)
+                words = part.column(0).to_pylist()
+                near = marks.value.of(words).any(axis=1)
+                part = part.append_column("near", pa.array(near))
+                yield part.filter(pa.array(near | np.fromiter((w in asked for w in words), bool, len(words))))
+
+    found = counts.where("clean > 0").select("w", "clean").mapInArrow(run, "w string, clean bigint, near boolean").collect()
+    marks.unpersist()
+    return sorted(r.w for r in found if r.near and r.w not in chosen), {r.w: r.clean for r in found}
+
+
+def _scale(texts: DataFrame, model: Model) -> tuple[float, float]:
+    """Slope and offset from the margins of all these texts (t, y)."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for part, (found,) in slices(batches, STRETCH, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.margins(found), pa.float64()), part.column(1)], ["m", "y"])
+
+    rows = texts.select("t", "y").mapInArrow(run, "m double, y boolean").groupBy("m", "y").agg(F.count("*").alias("n")).collect()
+    shared.unpersist()
+    rows.sort()
+    return _fit_scale(np.array([r.m for r in rows]), np.where([r.y for r in rows], 1.0, -1.0), np.array([r.n for r in rows], np.float64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """Trains on every labelled document that is not held out, whatever its length; none is left out and no
+    text comes to the driver. Nulls are left out; of several labels of one id the greatest counts, of several
+    texts the greatest. None as in train().
+
+    Labelled texts are met by id and written once. Over them are counted the texts that hold each word, the
+    toxic ones that show a word which may be chosen, and the margins. The driver gets the words of a hundredth
+    of the toxic texts, the clean words that resemble a chosen one, and the distinct margins."""
+    rows = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null").where(~held_out("i")).groupBy("i").agg((F.max("y") == 1).alias("y"))
+    most = rows.count()
+    if not most:
+        return None
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").where(~held_out("i"))
+    texts = materialize(texts.join(rows, "i").groupBy("i").agg(F.max("t").alias("t"), F.max("y").alias("y")), "labelled", most, 2_000)
+    n = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    model = _fit(texts, n[True], n[False], most) if len(n) == 2 else None
+    discard(texts)
+    return model
+
+
+def _fit(texts: DataFrame, n_toxic: int, n_clean: int, most: int) -> Model | None:
+    """A model from these texts (i, t, y), of which there are most at most."""
+    counts = materialize(_word_counts(texts), "words", most, 2_000)
+    often = counts.where(F.col("toxic") >= max(3, 0.01 * n_toxic)).collect()
+    clean = {r.w: r.clean for r in often}
+    able = _best({r.w: r.toxic for r in often}, clean, n_toxic, n_clean, None)  # a word shows in no more texts than hold it
+    chosen = _best(_shown(texts.where("y"), set(able)), clean, n_toxic, n_clean, MOST_LANDMARKS) if able else {}
+    model = _learn(chosen, *_near_words(counts, chosen), n_clean) if chosen else None
+    discard(counts)
+    if model is not None:
+        model.slope, model.offset = _scale(texts, model)
+    return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted), a row for each row of docs.
 
     Learns from labels (id, toxic) and the texts of docs alone; see fit. A text's score is that of its worst
@@ -403,9 +525,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     labels are missing, of one class, or no word tells them apart, every score is 0. A null id is never held
     out. Repeated rows give repeated rows; other columns are ignored; the empty table gives no rows.
 
-    One scan without a shuffle: the model has a few dozen landmarks and goes to each task.
+    Scored in one scan without a shuffle: the model has a few dozen landmarks and goes to each task.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
     docs = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -419,9 +541,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return out.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text scores less than min_score. Otherwise as score_toxicity."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from hashlib import blake2b
-from itertools import combinations, repeat
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ STRETCH = 1 << 21  # bytes that are read at once, and
 OVERLAP = 256  # of them that the next stretch of a text reads again
 LONG_WORD = 1 << 14  # letters of a word that are compared at once
 LONGEST = 64  # letters of a word that is kept
+AT_ONCE = 1 << 15  # words whose letters are looked at at once
+MOST_KINDS = 16  # letters of a landmark each choice of which is judged; of more only their number is
 LEAST_GAIN = 20  # of a landmark's log-likelihood ratio: five toxic texts of ten in a hundred, and no clean one;
 GAIN_TEXTS = 4_000  # among more texts as much more: with enough of them any slight difference is significant
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -41,6 +43,8 @@ def _forms(word: str) -> set[str]:
     bare = word.lower()
     if not bare.isalpha():
         bare = _EDGES.sub("", bare)
+    elif len(bare) <= WINDOW:
+        return {bare}
     forms = {bare} if bare.isalpha() else {bare, _NOT_LETTERS.sub("", bare), *(p for p in _NOT_LETTERS.split(bare) if len(p) >= ORDER)}
     return {f[i : i + WINDOW] for f in forms for i in range(0, max(1, len(f) - WINDOW + STEP), STEP)}
 
@@ -60,36 +64,52 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, paired: bool = False) -> np
     a and b hold code points, padded with different negative numbers; the result has a row for each word of
     a and a column for each of b, or with paired one column, for the word in the same row of b.
     """
-    shape = (len(a), 1 if paired else len(b))
-    width = b.shape[1]
-    inner = [np.zeros((width + 1, *shape), np.float32) for _ in range(ORDER - 1)]
+    width, decay = b.shape[1], np.float32(DECAY)
+    shape = (width, len(a), 1 if paired else len(b))
+    # Sums for each place in b are held without the decay up to that place, so a sum over the places before is a running one.
+    place = decay ** np.arange(width, dtype=np.float32)[:, None, None]
+    places = b.T[:, :, None] if paired else b.T[:, None, :]
+    inner = [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]
     total = np.zeros(shape, np.float32)
-    square = np.float32(DECAY * DECAY)
     for i in range(a.shape[1]):
-        same = [(a[:, i : i + 1] == (b[:, j : j + 1] if paired else b[None, :, j])) * square for j in range(width)]
-        for j in range(width):
-            total += same[j] * inner[-1][j]
+        same = (a[None, :, i, None] == places).astype(np.float32)
+        total += same * inner[-1]
         for k in range(ORDER - 2, -1, -1):
-            run, below = np.zeros(shape, np.float32), inner[k - 1] if k else None
-            fresh = np.zeros_like(inner[k])
-            for j in range(width):
-                run = run * np.float32(DECAY) + (same[j] * below[j] if k else same[j])
-                fresh[j + 1] = run
-            inner[k] *= np.float32(DECAY)
-            inner[k] += fresh
-    return total
+            fresh = same * inner[k - 1] if k else same / place
+            for j in range(1, width):
+                fresh[j] += fresh[j - 1]
+            inner[k] *= decay
+            inner[k][1:] += fresh[:-1]
+    return (total * place).sum(axis=0) * decay ** np.float32(ORDER + 1)
+
+
+_ALONE = np.zeros(0x110000, np.uint8)  # of a code point: 0 not yet asked, 1 a mark, 2 part of a word, 3 a letter
+
+
+def _word_parts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether code points are letters or digits, whether they are letters."""
+    kind = _ALONE[codes]
+    if not kind.all():
+        for c in np.unique(codes[kind == 0]).tolist():
+            _ALONE[c] = 3 if chr(c).isalpha() else 2 if chr(c).isalnum() else 1
+        kind = _ALONE[codes]
+    return kind > 1, kind > 2
+
+
+_BITS = np.uint64(1) << np.arange(61, dtype=np.uint64)
 
 
 def _letters(codes: np.ndarray) -> np.ndarray:
     """A bit for each letter; some letters share one."""
-    return np.uint64(1) << (codes % 61).astype(np.uint64)
+    return _BITS[codes % 61]
 
 
 class Landmarks:
     """Kernel values of words against fixed words, as sparse rows: normalised values under FLOOR count as 0.
 
-    A word can only reach FLOOR if it has enough of a landmark's letters: without some of them, what is left
-    of the landmark's own kernel bounds the value (Cauchy-Schwarz). So most words need no kernel at all.
+    A word can only reach FLOOR if it has enough of a landmark's letters: what is left of the landmark's own
+    kernel with these alone bounds the value (Cauchy-Schwarz), and is known beforehand for each choice of them.
+    A word's own kernel is no less than that of as many different letters, so few words that pass need it.
     """
 
     def __init__(self, words: list[str]):
@@ -97,7 +117,9 @@ class Landmarks:
         self.codes = _codes(self.words, max(map(len, self.words)), -2)
         self.sizes, self.own = np.array([len(w) for w in self.words]), self._own(self.words)
         self.masks = np.array([np.bitwise_or.reduce(_letters(np.array([ord(c) for c in w]))) for w in self.words], np.uint64)
-        self.need = [self._need(w) for w in self.words]
+        self.kinds = [sorted({ord(c) % 61 for c in w}) for w in self.words]
+        self.need, self.enough = zip(*map(self._need, self.words), strict=True)
+        self.least = self._own(["".join(map(chr, range(n))) for n in range(1, WINDOW + 1)])
         self.match = np.zeros((len(self.words), 62), np.uint64)
         for i, w in enumerate(self.words):
             for j, c in enumerate(w):
@@ -109,15 +131,34 @@ class Landmarks:
         return np.sqrt(subsequence_kernel(_codes(words, width, -1), _codes(words, width, -2), paired=True)[:, 0])
 
     @staticmethod
-    def _need(word: str) -> int:
-        bits = [int(_letters(np.array([ord(c)]))[0]) for c in word]
-        kinds = sorted(set(bits))
-        for gone in range(1, len(kinds)):
-            left = [[c if b not in out else "" for c, b in zip(word, bits, strict=True)] for out in combinations(kinds, gone)]
+    def _need(word: str) -> tuple[int, np.ndarray | None]:
+        """(how many of its letters a word must have at least, whether these letters are enough, by a bit for each in order, or None)."""
+        kinds = sorted({ord(c) % 61 for c in word})
+        least, enough = FLOOR * Landmarks._own([word])[0], np.zeros(1 << len(kinds), bool) if len(kinds) <= MOST_KINDS else None
+        for gone in range(len(kinds)):
+            kept = list(combinations(range(len(kinds)), len(kinds) - gone))
+            left = [[c if ord(c) % 61 in own else "" for c in word] for own in ({kinds[j] for j in k} for k in kept)]
             a, b = (np.array([[ord(c) if c else pad for c in w] for w in left], np.int32) for pad in (-1, -2))
-            if np.sqrt(subsequence_kernel(a, b, paired=True).max()) < FLOOR * Landmarks._own([word])[0]:
-                return len(kinds) - gone + 1
-        return 1
+            reach = np.sqrt(subsequence_kernel(a, b, paired=True)[:, 0]) >= least * (1 - 1e-5)
+            if enough is not None:
+                enough[[sum(1 << j for j in k) for k in kept]] = reach
+            if not reach.any():
+                return len(kinds) - gone + 1, enough
+        return 1, enough
+
+    def near(self, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(at, to): which words, by the letters that they hold, have enough of which landmarks' letters."""
+        at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (mask, need) in enumerate(zip(self.masks, self.need, strict=True)):
+            found = np.flatnonzero(np.bitwise_count(masks & mask) >= need)
+            if len(found) and self.enough[k] is not None:
+                own, place = masks[found], np.zeros(len(found), np.uint64)
+                for j, kind in enumerate(self.kinds[k]):
+                    place |= (own >> np.uint64(kind) & np.uint64(1)) << np.uint64(j)
+                found = found[self.enough[k][place.astype(np.int64)]]
+            at.append(found)
+            to.append(np.full(len(found), k))
+        return np.concatenate(at), np.concatenate(to)
 
     def _in_order(self, kinds: np.ndarray, to: np.ndarray) -> np.ndarray:
         """The length of the longest common subsequence of words (rows of letters' kinds) and landmarks, by bits."""
@@ -130,16 +171,17 @@ class Landmarks:
     def of(self, words: list[str]) -> np.ndarray:
         """A row for each word: its best form's kernel with each landmark, 0 to 1."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        pairs = [(f, i) for i, w in enumerate(words) for f in _forms(w) if len(f) >= ORDER]
-        if not pairs:
+        own = list(map(_forms, words))
+        forms, rows = [f for x in own for f in x], np.repeat(np.arange(len(words)), list(map(len, own)))
+        rows = rows[np.fromiter(map(len, forms), np.int64, len(forms)) >= ORDER].tolist()
+        forms = [f for f in forms if len(f) >= ORDER]
+        if not forms:
             return out
-        forms = [f for f, _ in pairs]
-        ends = np.cumsum([len(f) for f in forms])
+        size = np.fromiter(map(len, forms), np.int64, len(forms))
+        ends = np.cumsum(size)
         letter_kinds = np.frombuffer("".join(forms).encode("utf-32-le"), np.int32) % 61
-        masks = np.bitwise_or.reduceat(np.uint64(1) << letter_kinds.astype(np.uint64), ends - [len(f) for f in forms])
-        found = [(k, np.flatnonzero(np.bitwise_count(masks & m) >= need)) for k, (m, need) in enumerate(zip(self.masks, self.need, strict=True))]
-        at, to = np.concatenate([x for _, x in found]), np.concatenate([np.full(len(x), k) for k, x in found])
-        size = np.array([len(f) for f in forms])
+        masks = np.bitwise_or.reduceat(np.uint64(1) << letter_kinds.astype(np.uint64), ends - size)
+        at, to = self.near(masks)
         order = np.argsort(size[at], kind="stable")
         at, to, enough = at[order], to[order], []
         for lo in range(0, len(at), 1 << 16):
@@ -152,21 +194,23 @@ class Landmarks:
             return out
         keep = np.concatenate(enough)
         at, to = at[keep], to[keep]
-        used, again = np.unique(at, return_inverse=True)
-        own = np.zeros(len(used), np.float32)
-        for lo in range(0, len(used), 4096):
-            own[lo : lo + 4096] = self._own([forms[i] for i in used[lo : lo + 4096]])
-        size, wide = size[at], self.sizes[to]
-        order = np.lexsort((size, wide // 3))
+        value = np.empty(len(at), np.float32)
+        order = np.lexsort((size[at], self.sizes[to] // 3))
         for lo in range(0, len(at), 4096):
             part = order[lo : lo + 4096]
             a, b = at[part], to[part]
-            codes = _codes([forms[i] for i in a], size[part].max(), -1)
-            value = subsequence_kernel(codes, self.codes[b, : wide[part].max()], paired=True)[:, 0] / (own[again[part]] * self.own[b])
-            near = np.flatnonzero(value >= FLOOR)
-            for i, k, v in zip(a[near].tolist(), b[near].tolist(), value[near].tolist(), strict=True):
-                row = pairs[i][1]
-                out[row, k] = max(out[row, k], min(v, 1.0) ** POWER)
+            codes = _codes([forms[i] for i in a], size[a].max(), -1)
+            value[part] = subsequence_kernel(codes, self.codes[b, : self.sizes[b].max()], paired=True)[:, 0]
+        able = np.flatnonzero(value >= FLOOR * (1 - 1e-5) * self.own[to] * self.least[size[at] - 1])
+        at, to, value = at[able], to[able], value[able]
+        used, again = np.unique(at, return_inverse=True)
+        for lo in range(0, len(used), 4096):
+            own = self._own([forms[i] for i in used[lo : lo + 4096]])
+            mine = (again >= lo) & (again < lo + 4096)
+            value[mine] /= own[again[mine] - lo] * self.own[to[mine]]
+        near = np.flatnonzero(value >= FLOOR)
+        for i, k, v in zip(at[near].tolist(), to[near].tolist(), value[near].tolist(), strict=True):
+            out[rows[i], k] = max(out[rows[i], k], min(v, 1.0) ** POWER)
         return out
 
 
@@ -182,28 +226,30 @@ class Model:
         self.__setstate__(self.__dict__)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "of", "singles")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "marks")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.known, self.singles, self.of = {}, set(), None
+        self.known, self.marks = {}, None
+
+    def _marks(self) -> Landmarks:
+        if self.marks is None:
+            self.marks = Landmarks(self.landmarks)
+        return self.marks
 
     def _learnt(self, words: list[str]) -> np.ndarray:
         """Margins of words. A very long one is read by overlapping parts, its margin is the worst of theirs."""
-        if self.of is None:
-            self.of = Landmarks(self.landmarks).of
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for lo in range(0, max(1, len(w) - WINDOW), LONG_WORD):
-                parts.append(w[lo : lo + LONG_WORD + WINDOW])
-                owner.append(i)
+        parts, owner = words, np.arange(len(words))
+        if max(map(len, words), default=0) > LONG_WORD:
+            cut = [(i, w[lo : lo + LONG_WORD + WINDOW]) for i, w in enumerate(words) for lo in range(0, max(1, len(w) - WINDOW), LONG_WORD)]
+            parts, owner = [p for _, p in cut], [i for i, _ in cut]
         found, out, lo = np.empty(len(parts)), np.full(len(words), -np.inf), 0
         while lo < len(parts):
             hi, size = lo, 0
             while hi < len(parts) and hi - lo < 8192 and (hi == lo or size + len(parts[hi]) <= 8 * LONG_WORD):
                 size += len(parts[hi])
                 hi += 1
-            found[lo:hi] = self.of(parts[lo:hi]) @ self.weights + self.bias
+            found[lo:hi] = self._marks().of(parts[lo:hi]) @ self.weights + self.bias
             lo = hi
         np.maximum.at(out, owner, found)
         return out
@@ -211,19 +257,29 @@ class Model:
     def _margins_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(margin, whether it is a single letter) of each of these distinct words."""
         if len(self.known) > self.most:
-            self.known, self.singles = {}, set()
-        out = np.fromiter(map(self.known.get, words, repeat(np.nan)), np.float64, len(words))
-        lacking = np.flatnonzero(np.isnan(out)).tolist()
-        if lacking:
-            new = [words[i] for i in lacking]
-            out[lacking] = found = self._learnt(new)
-            for w, m in zip(new, found.tolist(), strict=True):
-                if len(w) <= LONGEST:
-                    self.known[w] = m
-                    bare = w if len(w) < 2 or w.isalpha() else _EDGES.sub("", w)
-                    if len(bare) == 1 and bare.isalpha():
-                        self.singles.add(w)
-        return out, np.fromiter(map(self.singles.__contains__, words), bool, len(words))
+            self.known = {}
+        found = [self._screened(words[lo : lo + AT_ONCE]) for lo in range(0, len(words), AT_ONCE)]
+        return np.concatenate([m for m, _ in found]), np.concatenate([s for _, s in found])
+
+    def _screened(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_margins_of() some of the words. Those without enough letters of any landmark have the bias for their margin and
+        are no further looked at; others, and very long ones, are learnt, and kept by what they are compared as."""
+        text = "\n".join(w if len(w) <= LONG_WORD else "" for w in words).lower()  # no word holds a line's end
+        codes = np.frombuffer((text + "\n").encode("utf-32-le"), np.int32)
+        ends = np.flatnonzero(codes == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        part, letter = (np.add.reduceat(x, starts, dtype=np.int64) for x in _word_parts(codes))
+        singles = (part == 1) & (letter == 1) & (ends - starts <= LONGEST)
+        bits = _BITS[codes % 61]
+        bits[ends] = 0
+        near = {*self._marks().near(np.bitwise_or.reduceat(bits, starts))[0].tolist(), *(i for i, w in enumerate(words) if len(w) > LONG_WORD)}
+        near, out, low = sorted(near), np.full(len(words), self.bias, np.float64), text.split("\n")
+        bare = [words[i] if len(words[i]) > LONGEST else low[i] if low[i].isalpha() else _EDGES.sub("", low[i]) for i in near]
+        new = [w for w in dict.fromkeys(bare) if w not in self.known]
+        found = dict(zip(new, self._learnt(new).tolist(), strict=True))
+        self.known.update((w, m) for w, m in found.items() if len(w) <= LONGEST)
+        out[near] = [found[w] if w in found else self.known[w] for w in bare]
+        return out, singles
 
     def margins(self, texts: list[str]) -> list[float]:
         """For each text the worst of all its words, and of single letters in a row read as words.
@@ -412,7 +468,7 @@ def _held_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     found = [np.zeros(0, np.int64)]
     for rows, pieces in stretches(texts, STRETCH):
         codes, bounds, distinct = coded_words(pieces, ascii_space=False)
-        bare = [_EDGES.sub("", w.lower()) for w in distinct]
+        bare = [w if w.isalpha() else _EDGES.sub("", w) for w in "\n".join(distinct).lower().split("\n")] if distinct else []
         place = np.array([number.setdefault(w, len(number)) if ORDER <= len(w) <= WINDOW else -1 for w in bare], np.int64)[codes]
         row = np.repeat(rows, np.diff(bounds))
         found.append(np.unique((row << 32 | place)[place >= 0]))

@@ -71,6 +71,37 @@ def test_filters_keep_what_reaches_the_floor():
                 assert value < toxicity.FLOOR + 1e-4 or value < 0.8  # too few letters in order
 
 
+def test_only_near_words_are_learnt_and_once():
+    """What margins costs is bounded by the words that can have a kernel value; the margins are those of all words alike."""
+    rng = random.Random(2)
+    model = toxicity.Model(["idiot", "worthless", "moron"], np.array([2.0, 2.5, 1.5], np.float32), -0.8)
+    learnt, real = [], model._learnt
+    model._learnt = lambda words: learnt.extend(words) or real(words)
+    far = ["".join(rng.choice("bcfgjkpquvxyz") for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    near = ["Idiot", "IDIOT!", "(idiot)", "\u201cidiot\u2026", "idi0t", "i.d.i.o.t", "mo-ron", "\u0130diot", "WORTHLE\u03a3\u03a3.", "worth*less", "x" * 100 + "idiot", "!!!", "I", "x" * 40_000 + "moron"]
+    of = toxicity.Landmarks(model.landmarks).of
+    want = [max((of([w[lo : lo + 8000]]) @ model.weights + model.bias)[0] for lo in range(0, len(w), 7900)) for w in [*far, *near]]
+    assert model.margins([*far, *near]) == pytest.approx(want, abs=1e-5)
+    assert len(learnt) == len(set(learnt)) < len(near) and {"idiot", "mo-ron"} <= set(learnt)
+    seen = len(learnt)
+    assert model.margins([f"{w} idiot?" for w in far]) == pytest.approx([1.2] * len(far), abs=1e-5) and len(learnt) == seen
+    assert model.margins(["the I D I O T now"])[0] == pytest.approx(1.2, abs=1e-5)
+
+
+def test_letters_leave_out_no_kernel_value():
+    rng = random.Random(3)
+    marks = toxicity.Landmarks(["idiot", "worthless", "moron", "chllalla", "anna", "a1.b2@c3.de"])
+    words = ["".join(c if rng.random() < 0.6 else rng.choice(["", c + c, "x", rng.choice(m)]) for c in m)[:12] + rng.choice(["", "q"]) for m in marks.words for _ in range(500)]
+    codes = toxicity._codes(words, 13, -1)
+    own = np.sqrt(toxicity.subsequence_kernel(codes, toxicity._codes(words, 13, -2), paired=True))
+    reach = toxicity.subsequence_kernel(codes, marks.codes) / np.maximum(own * marks.own, 1e-9) >= toxicity.FLOOR
+    at, to = marks.near(np.array([np.bitwise_or.reduce(toxicity._letters(np.array([ord(c) for c in w]))) for w in words]))
+    left = np.zeros_like(reach)
+    left[at, to] = True
+    assert reach.any(axis=0).all() and not (reach & ~left).any() and left.mean() < 0.5
+    assert (own[:, 0] >= marks.least[[len(w) - 1 for w in words]] * (1 - 1e-5)).all()
+
+
 def test_held_out_accuracy_and_misspellings(make_docs, toxic_data):
     rows, labels, frame = toxic_data
     out = score_toxicity(make_docs(rows), frame).collect()
